@@ -225,3 +225,24 @@ class Known:
             learn(missing[one])
             slots[missing] = self.add(new)[index]
         return slots
+
+
+def sampled(df: DataFrame, by: str, most: int, key: str = "doc_id") -> DataFrame:
+    """About ``most`` rows (all, if fewer) of each value of ``by``, chosen by a hash of the key.
+
+    Only counts go to the driver, a row for each value; the chosen number is binomial around ``most``."""
+    counts = df.groupBy(by).count().where(F.col(by).isNotNull()).collect()
+    share = F.pmod(F.xxhash64(key), F.lit(1_000_000)) / 1e6
+    keep = F.lit(False)
+    for r in counts:
+        keep = keep | ((F.col(by) == r[0]) & (share < most / r[1]))
+    return df.where(keep)
+
+
+def schema_with(df: DataFrame, *columns: tuple[str, str]):
+    """The schema with further columns; those of the same names are replaced."""
+    from pyspark.sql.types import StructType
+
+    names = {n for n, _ in columns}
+    added = StructType.fromDDL(", ".join(f"{n} {kind}" for n, kind in columns))
+    return StructType([f for f in df.schema.fields if f.name not in names] + added.fields)

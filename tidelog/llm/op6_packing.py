@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, documents, text_of, written
+from .common import blocks, documents, schema_with, text_of, written
 from .tokens import encoder
 
 CAPACITY = 4096
@@ -118,7 +118,7 @@ def assign(pieces: DataFrame, order: list[str], capacity: int = CAPACITY, length
     ``order`` names columns that make rows distinct, as far as they can be told apart."""
     counts = {r[0]: r[1] for r in pieces.groupBy(length).count().collect()}  # a row for each length at most
     places = Places(plan(counts, capacity))
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    schema = schema_with(pieces, ("sequence_id", "long"), ("offset", "long"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
