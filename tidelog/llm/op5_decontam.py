@@ -186,5 +186,32 @@ def _matched(rows: DataFrame, index: Index) -> DataFrame:
     return rows.mapInArrow(run, _KIND)
 
 
+def without_leaks(docs: DataFrame, items: DataFrame, part_items: int = PART_ITEMS) -> DataFrame:
+    """The rows, with all their columns, whose text holds no test item."""
+    schema, part = docs.schema, []
+    for r in [*items.select(F.col("item_id").cast("long"), text_of()).orderBy("item_id").toLocalIterator(), None]:
+        if r is not None:
+            part.append((r[0], r[1]))
+        if part and (r is None or len(part) == part_items):
+            docs, part = _cleaned(docs, Index(part), schema), []
+    return docs
+
+
+def _cleaned(docs: DataFrame, index: Index, schema) -> DataFrame:
+    held = docs.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place, at = batch.schema.get_field_index("text"), 0
+            filled = batch.set_column(place, "text", batch.column("text").fill_null(""))
+            for some in blocks(filled, "text", 1 << 20):
+                keep = np.ones(some.num_rows, bool)
+                keep[[x[0] for x in held.value.leaks(some.column("text"))]] = False
+                yield batch.slice(at, some.num_rows).filter(pa.array(keep))
+                at += some.num_rows
+
+    return docs.mapInArrow(run, schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
