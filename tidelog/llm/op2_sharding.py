@@ -85,7 +85,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, ranges_each: int = RANGES) -> D
         groups = [tuple(r) for r in heavy.collect()]  # fewer than there are ranges, by their weight
     parts_of = {(r, h): -(-b // max(1, total // shards)) for r, h, b in groups}
     parts_of = {k: 8 * p if p > 1 else 1 for k, p in parts_of.items()}
-    big = spark.createDataFrame([(r, h, p) for (r, h), p in parts_of.items()], "range int, h long, parts int")
+    weights = {(r, h): -(-b // share) for r, h, b in groups}  # fine ranges that a group is worth
+    big = spark.createDataFrame([(r, h, p, weights[r, h]) for (r, h), p in parts_of.items()], "range int, h long, parts int, weight long")
     unit = ranged.join(F.broadcast(big), ["range", "h"], "left")
     unit = unit.withColumn("group", F.when(F.col("parts").isNotNull(), F.col("h"))).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
     left = dict(sizes)
@@ -103,7 +104,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, ranges_each: int = RANGES) -> D
     same = (F.col("range") == F.col("u_range")) & F.col("group").eqNullSafe(F.col("u_group")) & (F.col("part") == F.col("u_part"))
     placed = unit.join(F.broadcast(planned), same).drop("u_range", "u_group", "u_part")
     pieces = max(1, -(-n // (ranges * PIECE_ROWS // 4)))
-    piece = [F.col("shard"), F.col("range"), F.coalesce("group", F.lit(0)).alias("group"), F.col("part"), F.pmod(F.xxhash64("doc_id", "h"), F.lit(pieces)).alias("piece")]
+    piece = [F.col("shard"), F.col("range"), F.coalesce("group", F.lit(0)).alias("group"), F.col("part"), F.pmod(F.xxhash64("doc_id", "h", F.lit(2)), F.lit(pieces) * F.coalesce("weight", F.lit(1))).alias("piece")]
     placed = placed.select("doc_id", "size", "text_crc32", "h", *piece)
     names = ["shard", "range", "group", "part", "piece"]
     within = F.row_number().over(Window.partitionBy(*names).orderBy("h", "doc_id"))
