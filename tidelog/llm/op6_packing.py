@@ -101,11 +101,18 @@ class Places:
 
 
 def ranked(pieces: DataFrame, counts: dict[int, int], order: list[str], length: str = "length", task_rows: int = 1_000_000) -> DataFrame:
-    """Adds rank, gapless from 0 among rows of a length. A common length is dealt to several tasks by a hash of the order."""
-    salts = max(1, -(-max(counts.values(), default=1) // task_rows))
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    """Adds rank, gapless from 0 among rows of a length. A common length is dealt to several tasks by a hash of the order:
+    none numbers over ``task_rows`` rows, nor much over 1/256 of all."""
+    most = min(task_rows, max(500, sum(counts.values()) // 256))
+    salts = {k: -(-n // most) for k, n in counts.items() if n > most}
+    salt = F.lit(0)
+    if salts:  # lengths over 1/256 of all rows, or over task_rows: a row for each at most
+        table = pieces.sparkSession.createDataFrame(list(salts.items()), "_length long, _salts long")
+        pieces = pieces.join(F.broadcast(table), F.col(length) == F.col("_length"), "left")
+        salt = F.pmod(F.xxhash64(*order), F.coalesce("_salts", F.lit(1)))
+    salted = pieces.withColumn("_salt", salt).drop("_length", "_salts")
     within = F.row_number().over(Window.partitionBy(length, "_salt").orderBy(*order)).cast("long") - 1
-    if salts == 1:
+    if not salts:
         return salted.withColumn("rank", within).drop("_salt")
     sizes = salted.groupBy(length, "_salt").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(length).orderBy("_salt")) - F.col("_n")).drop("_n")
@@ -126,7 +133,8 @@ def assign(pieces: DataFrame, order: list[str], capacity: int = CAPACITY, length
             kept = [i for i, x in enumerate(batch.schema.names) if x != "rank"]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(sequence), pa.array(offset)], [*(batch.schema.names[i] for i in kept), "sequence_id", "offset"])
 
-    return ranked(pieces, counts, order, length).mapInArrow(place, schema)
+    names = schema.names[:-2]
+    return ranked(pieces, counts, order, length).select(*names, "rank").mapInArrow(place, schema)
 
 
 def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
