@@ -1,6 +1,8 @@
 """A corpus from raw documents to packed sequences: each stage writes Parquet that the next one reads.
 
-The stages keep the columns of ``documents`` up to the last, which returns pieces with their sequence and offset."""
+The stages keep the columns of ``documents`` up to the last, which returns pieces with their sequence and offset.
+Further columns pass through unread, whatever their names; null texts and ids are as each operator has them; an empty
+table gives no row."""
 
 from __future__ import annotations
 
@@ -8,22 +10,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import op4_simhash, op5_decontam, op6_packing, op9_pii, op10_langid
-from tidelog.llm.common import documents, written
+from tidelog.llm.common import aside, documents, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: those without a letter, or that no language explains better than all others, go."""
     import public_tokenizers
 
-    model = op10_langid.fit(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    return op10_langid.predict(docs, model).where("lang_pred <> 'und' and score >= 0.5").select(docs.columns)
+    own, back = aside(docs, ("doc_id", "text", "lang"))
+    model = op10_langid.fit(own, public_tokenizers.path("piece_bpe_32k.model"))
+    return back(op10_langid.predict(own, model).where("lang_pred <> 'und' and score >= 0.5"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component stays, once; rows without an id stay."""
     first = op4_simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.union(docs.where("doc_id is null")).select(docs.columns)
+    own, back = aside(docs, ("doc_id", "text"))
+    kept = own.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(own.columns)
+    return back(kept.union(own.where("doc_id is null")))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +40,7 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = op9_pii.redact(docs, op9_pii.fit(docs))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
-    return out.select(docs.columns)
+    return out
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

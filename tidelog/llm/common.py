@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -246,3 +246,9 @@ def schema_with(df: DataFrame, *columns: tuple[str, str]):
     names = {n for n, _ in columns}
     added = StructType.fromDDL(", ".join(f"{n} {kind}" for n, kind in columns))
     return StructType([f for f in df.schema.fields if f.name not in names] + added.fields)
+
+
+def aside(docs: DataFrame, own: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The table with all columns but ``own`` under names that nothing else has, and a function that brings all columns, their names and order back."""
+    names = [c if c in own else f"_aside_{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), lambda df: df.select(*(F.col(x).alias(c) for x, c in zip(names, docs.columns)))

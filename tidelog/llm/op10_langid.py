@@ -13,12 +13,12 @@ ignored."""
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +26,7 @@ from .common import Known, Words, blocks, documents, remainder, sampled, schema_
 
 TEXTS, CHARS = 250, 20_000
 LONGEST = 24
-RUNS = re.compile(r"[^\W\d_]+").findall
+RUNS = regex.compile(r"\p{L}+").findall
 ROUNDS, PRIOR = 4, 200.0
 
 

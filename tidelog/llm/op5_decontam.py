@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PLAIN, Words, blocks, distinct, documents, mix, text_of
+from .common import PLAIN, Words, aside, blocks, distinct, documents, mix, text_of
 
 WINDOW, BLOCK_ITEMS, PART_ITEMS = 64, 8, 500
 K1, B = 1.2, 0.75
@@ -188,13 +188,14 @@ def _matched(rows: DataFrame, index: Index) -> DataFrame:
 
 def without_leaks(docs: DataFrame, items: DataFrame, part_items: int = PART_ITEMS) -> DataFrame:
     """The rows, with all their columns, whose text holds no test item."""
+    docs, back = aside(docs, ("text",))
     schema, part = docs.schema, []
     for r in [*items.select(F.col("item_id").cast("long"), text_of()).orderBy("item_id").toLocalIterator(), None]:
         if r is not None:
             part.append((r[0], r[1]))
         if part and (r is None or len(part) == part_items):
             docs, part = _cleaned(docs, Index(part), schema), []
-    return docs
+    return back(docs)
 
 
 def _cleaned(docs: DataFrame, index: Index, schema) -> DataFrame:

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, text_of
+from .common import aside, documents, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns, written so that a match is only tried where one can begin, and long runs need no deep stack.
@@ -221,8 +221,9 @@ def found(docs: DataFrame, model: dict[str, tuple[Trees, float]]) -> DataFrame:
 
 
 def redact(docs: DataFrame, model: dict[str, tuple[Trees, float]]) -> DataFrame:
-    """The rows with each stretch of spans in the text replaced by the first one's kind in brackets."""
-    rows = found(docs, model)
+    """The rows, with all their columns, with each stretch of spans in the text replaced by the first one's kind in brackets."""
+    own, back = aside(docs, ("text",))
+    rows = found(own, model)
     ordered = F.array_sort(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("less"), x["kind"].alias("kind"))))
 
     def step(acc: Column, x: Column) -> Column:
@@ -233,7 +234,7 @@ def redact(docs: DataFrame, model: dict[str, tuple[Trees, float]]) -> DataFrame:
 
     first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     new = F.aggregate(ordered, first, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return rows.withColumn("text", F.when(F.size("spans") > 0, new).otherwise(F.col("text"))).drop("base", "spans")
+    return back(rows.withColumn("text", F.when(F.size("spans") > 0, new).otherwise(F.col("text"))))
 
 
 def _written_out(spans: Column) -> Column:
