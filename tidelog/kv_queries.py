@@ -96,8 +96,8 @@ query("kv_range_truncated", f"WITH {KV} SELECT count(*) AS n, count(*) = 50 AS t
 query("kv_range_all_regions", f"WITH {KV} SELECT user_key FROM live WHERE starts_with(user_key, 'u0')")(lambda s, d: sn.scan(kv(s, d), "u0", now=NOW).select("user_key"))
 query("kv_range_from_start", f"WITH {KV} SELECT user_key FROM live WHERE starts_with(user_key, 'u00') AND user_key >= 'u0033' ORDER BY user_key LIMIT 40")(lambda s, d: sn.range_keys(kv(s, d), "u00", "u0033", 40, NOW))
 query("kv_page", f"WITH {KV}, p AS (SELECT max(user_key) AS k FROM (SELECT user_key FROM live WHERE starts_with(user_key, 'u00') ORDER BY user_key LIMIT 25)) SELECT user_key FROM live, p WHERE starts_with(user_key, 'u00') AND user_key >= k ORDER BY user_key LIMIT 25")(lambda s, d: sn.next_page(kv(s, d), "u00", sn.range_keys(kv(s, d), "u00", "", 25, NOW).agg(F.max("user_key")).first()[0] or "u00", 25, NOW))
-query("kv_seek_ge", f"WITH {KV} SELECT min(user_key) AS user_key FROM kv WHERE user_key >= 'u0040/9'")(lambda s, d: sn.seek(kv(s, d), "u0040/9"))
-query("kv_seek_le", f"WITH {KV} SELECT max(user_key) AS user_key FROM kv WHERE user_key <= 'u0040/9'")(lambda s, d: sn.seek(kv(s, d), "u0040/9", False))
+query("kv_seek_ge", f"WITH {KV} SELECT user_key FROM kv WHERE user_key >= 'u0040/9' ORDER BY user_key LIMIT 1")(lambda s, d: sn.seek(kv(s, d), "u0040/9"))
+query("kv_seek_le", f"WITH {KV} SELECT user_key FROM kv WHERE user_key <= 'u0040/9' ORDER BY user_key DESC LIMIT 1")(lambda s, d: sn.seek(kv(s, d), "u0040/9", False))
 query("kv_first_last", f"WITH {KV} SELECT min(user_key) AS first_key, max(user_key) AS last_key FROM kv")(lambda s, d: kv(s, d).agg(F.min("user_key").alias("first_key"), F.max("user_key").alias("last_key")))
 query("kv_reverse_scan", f"WITH {KV} SELECT user_key FROM live ORDER BY user_key DESC LIMIT 30")(lambda s, d: sn.live(kv(s, d), NOW).select("user_key").orderBy(F.desc("user_key")).limit(30))
 query("kv_delete_found", f"WITH {KV}, r AS (SELECT DISTINCT 'u' || lpad(CAST(c_custkey AS VARCHAR), 4, '0') || '/' || CAST(c_custkey % 8 AS VARCHAR) AS user_key FROM customer WHERE c_custkey < 9000), h AS (SELECT r.user_key FROM r JOIN top USING (user_key) WHERE NOT is_delete) SELECT user_key, (SELECT max(seq) FROM kv) + row_number() OVER (ORDER BY user_key) AS seq FROM h")(lambda s, d: sn.deletes(kv(s, d), _requests(s, d), kv(s, d).agg(F.max("seq")).first()[0])[0].select("user_key", "seq"))
@@ -175,7 +175,7 @@ query("valid_discards", f"WITH {_DISC} SELECT * FROM disc WHERE extent_id IN (SE
 _GC = f"WITH {_DISC}, t AS (SELECT * FROM disc JOIN sizes USING (extent_id) WHERE extent_id <> (SELECT max(extent_id) FROM sizes) AND size > 0 ORDER BY discard DESC, extent_id LIMIT {{n}}) SELECT * FROM t WHERE discard * 10 > size * {{tenths}}"
 query("gc_candidates", _GC.format(n=3, tenths=4))(lambda s, d: mt.gc_candidates(_discards(s, d), _sizes(s, d)))
 query("gc_candidates_strict", _GC.format(n=8, tenths=6))(lambda s, d: mt.gc_candidates(_discards(s, d), _sizes(s, d), 8, 6))
-query("gc_forced", "SELECT * FROM (VALUES (0, 7), (2, 3), (3, 8)) t(pos, extent_id)")(lambda s, d: mt.forced_candidates(s.createDataFrame([(0, 7), (1, 99999999), (2, 3), (3, 8), (4, 2)], "pos long, extent_id long"), _sizes(s, d)))
+query("gc_forced", f"WITH {BLOB} SELECT CAST(pos AS BIGINT) AS pos, CAST(extent_id AS BIGINT) AS extent_id FROM (VALUES (0, 7), (1, 99999999), (2, 3), (3, 8), (4, 2)) t(pos, extent_id) WHERE extent_id IN (SELECT extent_id FROM kv) ORDER BY pos LIMIT 3")(lambda s, d: mt.forced_candidates(s.createDataFrame([(0, 7), (1, 99999999), (2, 3), (3, 8), (4, 2)], "pos long, extent_id long"), _sizes(s, d)))
 query("gc_move", f"WITH {BLOB} SELECT user_key, seq, (SELECT max(seq) FROM kv) + row_number() OVER (ORDER BY seq) AS new_seq FROM top WHERE is_vp AND NOT is_delete AND extent_id IN (7, 8)")(lambda s, d: mt.gc_moves(blob(s, d), F.col("extent_id").isin(7, 8), NOW).select("user_key", "seq", "new_seq"))
 query("gc_result", f"WITH {BLOB} SELECT user_key, value FROM top WHERE NOT is_delete")(lambda s, d: _gc_result(s, d))
 
