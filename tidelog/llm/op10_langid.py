@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Known, Words, blocks, documents, remainder, sampled, schema_with, text_of
+from .common import Known, Words, blocks, documents, mix, remainder, sampled, schema_with, text_of
 
 TEXTS, CHARS = 250, 20_000
 LONGEST = 24
@@ -43,37 +43,58 @@ def vocabulary(path: str) -> dict[str, int]:
     return {model.id_to_piece(i): k for k, i in enumerate(usual)}
 
 
-def prefixes_of(pieces: dict[str, int]) -> dict[str, int]:
-    """Every beginning of a piece: the piece's number if it is one, else -1."""
-    out = {p[:k]: -1 for p in pieces for k in range(1, len(p))}
-    return out | pieces
+class _Steps(Known):
+    BITS = 18
+
+
+class Prefixes:
+    """Every beginning of a piece as a node: steps between them by a letter, and each one's piece (-1: none)."""
+
+    def __init__(self, pieces: dict[str, int]):
+        names = sorted({p[:k] for p in pieces for k in range(1, len(p) + 1)})
+        node = {"": 0} | {x: i for i, x in enumerate(names, 1)}
+        self.piece = np.array([-1, *(pieces.get(x, -1) for x in names)], np.int64)
+        self.steps = _Steps()
+        self.steps.add(mix(np.array([node[x[:-1]] << 21 | ord(x[-1]) for x in names], np.uint64)))
+
+    def step(self, node: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """The nodes after these letters; 0 where no piece begins so."""
+        return self.steps.find(mix((node << 21 | letter).astype(np.uint64))).astype(np.int64) + 1
+
+
+def prefixes_of(pieces: dict[str, int]) -> Prefixes:
+    return Prefixes(pieces)
 
 
 class Lattice:
-    """All pieces in all of the words, as edges ordered by their ends. A letter no piece has is piece ``len(vocabulary)``."""
-
-    def __init__(self, words: list[str], prefixes: dict[str, int], none: int):
-        edges: list[int] = []
-        get, add = prefixes.get, edges.append
-        for w, x in enumerate(words):
-            x = "▁" + x
-            n = len(x)
-            for i in range(n):
-                at = (w << 5 | i) << 5
-                for j in range(i + 1, n + 1):
-                    p = get(x[i:j])
-                    if p is None:  # no piece begins so
-                        if j == i + 1:
-                            add((at | j) << 17 | none)
-                        break
-                    if p >= 0:
-                        add((at | j) << 17 | p)
-                    elif j == i + 1:
-                        add((at | j) << 17 | none)
-        e = np.array(edges, np.int64)
-        self.piece, self.end, self.start, self.word = e & 0x1FFFF, e >> 17 & 31, e >> 22 & 31, e >> 27
-        self.lens = np.fromiter((len(x) + 1 for x in words), np.int64, len(words))
-        self.by_end = np.argsort(self.end, kind="stable")
+    """All pieces in all of the words, as edges. A letter no piece has is piece ``len(vocabulary)``."""
+
+    def __init__(self, words: list[str], prefixes: Prefixes, none: int):
+        letters = np.frombuffer("".join("▁" + x for x in words).encode("utf-32-le"), "<u4").astype(np.int64)
+        lens = np.fromiter((len(x) + 1 for x in words), np.int64, len(words))
+        word = np.repeat(np.arange(len(words)), lens)
+        last = np.cumsum(lens)
+        start = np.arange(len(letters)) - (last - lens)[word]
+        # All starts go on letter by letter; those that no piece begins with drop out.
+        at, node, parts = np.arange(len(letters)), np.zeros(len(letters), np.int64), []
+        for k in range(LONGEST + 1):
+            inside = at + k < last[word[at]]
+            at, node = at[inside], node[inside]
+            if not len(at):
+                break
+            node = prefixes.step(node, letters[at + k])
+            piece = prefixes.piece[node]
+            if k == 0:
+                parts.append((at, np.ones(len(at), np.int64), np.where(piece >= 0, piece, none)))
+            else:
+                some = piece >= 0
+                parts.append((at[some], np.full(int(some.sum()), k + 1), piece[some]))
+            at, node = at[node > 0], node[node > 0]
+        at, size, self.piece = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(3))
+        self.word, self.start = word[at], start[at]
+        self.end = self.start + size
+        self.lens = lens
+        self.by_end = np.argsort(self.end.astype(np.uint8), kind="stable")
         self.cuts = np.searchsorted(self.end[self.by_end], np.arange(1, LONGEST + 3))
 
     def forward(self, theta: np.ndarray) -> np.ndarray:
