@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import aside, documents, text_of
+from .common import aside, documents, text_of, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns, written so that a match is only tried where one can begin, and long runs need no deep stack.
@@ -166,12 +166,13 @@ def _touches(x: Column, others: Column) -> Column:
 def fit(docs: DataFrame, texts: int = FIT_TEXTS, precision: float = PRECISION) -> dict[str, tuple[Trees, float]]:
     """Trees and threshold of each kind, from about ``texts`` texts with an @ or a digit."""
     text = text_of()
-    some = docs.select("doc_id", "text").where(text.contains("@") | text.rlike("[0-9]{2}"))
-    n = some.count()
+    has = text.contains("@") | text.rlike("[0-9]{2}")
+    n = docs.where(has).count()
     if not n:
         return {}
-    chosen = some.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 1e6 * texts / n)
-    rows = searched(chosen)
+    # The sample is written once, as each kind below reads it again; its hash is tried before the texts are.
+    chosen = docs.select("doc_id", "text").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < 1e6 * texts / n).where(has)
+    rows = searched(written(chosen, "op9-sample"))
     each = None
     for k in KINDS:
         c = rows.select(F.explode(f"wide_{k}").alias("c"), F.col(f"base_{k}").alias("b"))
