@@ -90,3 +90,12 @@ def test_changes_carry_previous(spark, tmp_path):
     s = st.changes(st.log_stream(spark, str(tmp_path / "in")))
     s.writeStream.format("memory").queryName("changes_t").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     assert sorted((r.seq, r.kind, r.previous) for r in spark.table("changes_t").collect()) == [(1, "PUT", None), (2, "PUT", "x"), (3, "DELETE", "y")]
+
+
+def test_streams_hold_all_orders(spark, tmp_path):
+    rows = [(k, k % 7) for k in (1, 501, 4000, 4001, 4501, 60_000)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    want = {}
+    for k, part in rows:
+        want.setdefault(k % 500, set()).add(part)
+    assert {r.stream_id: r.extent_ids for r in q.streams(spark, str(tmp_path)).collect()} == {s: sorted(x) for s, x in want.items()}

@@ -83,7 +83,7 @@ def extents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def streams(spark: SparkSession, d: str) -> DataFrame:
-    m = spark.read.parquet(f"{d}/lineitem.parquet").where("l_orderkey <= 4000").select((F.col("l_orderkey") % 500).alias("stream_id"), F.col("l_partkey").alias("extent_id")).distinct()
+    m = spark.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_orderkey") % 500).alias("stream_id"), F.col("l_partkey").alias("extent_id")).distinct()
     return m.groupBy("stream_id").agg(F.array_sort(F.collect_list("extent_id")).alias("extent_ids"))
 
 
