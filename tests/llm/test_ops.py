@@ -71,6 +71,15 @@ def test_ngram(docs, none, order):
     assert op1_ngram.score(none, held).count() == 0
 
 
+def test_ngram_query_uses_two_words_of_context(spark, tmp_path):
+    texts = ["red river runs", "old river rests", "red river runs", "red river rests"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    docs, held = spark.read.parquet(str(tmp_path / "documents.parquet")), "crc32(cast(doc_id as string)) % 7 = 2"
+    scores = lambda df: {r.doc_id: round(r.score, 9) for r in df.collect()}
+    got = scores(op1_ngram.query(spark, str(tmp_path)))
+    assert got == scores(op1_ngram.score(docs, held, 3)) != scores(op1_ngram.score(docs, held, 2))
+
+
 def test_elias_fano(tmp_path):
     rng = np.random.default_rng(1)
     for n, u in ((0, 10), (1, 1), (500, 10_000), (1000, 1 << 60)):

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, Words, blocks, distinct, documents, remainder, text_of, written
 from .eliasfano import Trie, load, quantise, save, value
 
-ORDER = 2
+ORDER = 3
 BLOCK = 16 << 20
 SHARD_TOKENS = 4_000_000
 BEGIN, END = np.uint64(1), np.uint64(2)
