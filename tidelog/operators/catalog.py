@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codec import in_range
 
-#: Catalogs of up to so many rows are broadcast; larger ones are joined by an exchange on a key bucket.
+#: Regions of up to so many rows are broadcast; the join of more is left to Spark.
 BROADCAST_ROWS = 100_000
 
 
@@ -148,7 +148,10 @@ def recovery(extents: DataFrame, nodes: DataFrame, disks: DataFrame) -> DataFram
     online = disks.where("online").select("node_id").distinct()
     healthy = nodes.where("alive").join(online, "node_id", "left_semi").select(F.col("node_id").alias("target"))
     broken = slots.join(healthy, F.col("node_id") == F.col("target"), "left_anti")
-    free = broken.join(F.broadcast(healthy.limit(BROADCAST_ROWS)), ~F.array_contains("holders", F.col("target")), "left")
+    # An extent's holders can take no more than that many of the first nodes, so one of so many and one more is free.
+    most = slots.agg(F.max(F.size("holders"))).first()[0] or 0
+    first = healthy.where("target is not null").distinct().orderBy("target").limit(most + 1)
+    free = broken.join(F.broadcast(first), ~F.array_contains("holders", F.col("target")), "left")
     return free.groupBy("extent_id", "slot", "node_id").agg(F.min("target").alias("target"))
 
 
