@@ -108,3 +108,21 @@ def test_recovery_takes_the_first_healthy_node(spark, monkeypatch):
     disks = spark.createDataFrame([(i, i != 1) for i in range(1, 401)], "node_id long, online boolean")
     got = {(r.extent_id, r.slot, r.node_id, r.target) for r in catalog.recovery(extents, nodes, disks).collect()}
     assert got == {(1, 1, 3, 4), (1, 2, 1, 4), (2, 0, 500, 4), (2, 1, 501, 4)}
+
+
+def test_requests_hold_all_customers(spark, tmp_path):
+    spark.createDataFrame([(5,), (8999,), (9000,), (12345,), (12346,)], "c_custkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    assert sorted(r[0] for r in q._requests(spark, str(tmp_path)).collect()) == ["u0005/5", "u12345/1", "u12346/2", "u8999/7", "u9000/0"]
+
+
+def test_concatenated_runs_meet(spark, tmp_path):
+    spark.range(6000).toDF("event_id").write.parquet(str(tmp_path / "events.parquet"))
+    assert sorted(r.p for r in q.QUERIES["concat_runs"](spark, str(tmp_path)).collect()) == list(range(6000))
+
+
+def test_overlap_looks_at_every_part(spark):
+    sf = "/root/testdata/sf0.01"
+    want = {}
+    for r in q._tables(spark, sf).collect():
+        want[r.part_id] = want.get(r.part_id, False) or r.smallest < "u0003" or r.biggest < "u0003"
+    assert len(want) > 1 and {r.part_id: r.overlap for r in q.QUERIES["overlap_detection"](spark, sf).collect()} == want

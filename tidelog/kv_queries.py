@@ -106,7 +106,8 @@ query("kv_delete_missing", f"WITH {KV}, r AS (SELECT DISTINCT 'u' || lpad(CAST(c
 
 def _requests(s: SparkSession, d: str) -> DataFrame:
     c = F.col("c_custkey")
-    return s.read.parquet(f"{d}/customer.parquet").where(c < 9000).select(F.concat(F.lit("u"), F.lpad(c.cast("string"), 4, "0"), F.lit("/"), (c % 8).cast("string")).alias("user_key"))
+    wide = F.lpad(c.cast("string"), F.greatest(F.lit(4), F.length(c.cast("string"))), F.lit("0"))
+    return s.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit("u"), wide, F.lit("/"), (c % 8).cast("string")).alias("user_key"))
 
 
 # Versions.
@@ -134,7 +135,7 @@ def _merged(s: SparkSession, d: str) -> DataFrame:
     return sn.merge(runs, ["k"], "p")
 
 
-query("concat_runs", "SELECT event_id AS p FROM events WHERE event_id < 2000 UNION ALL SELECT event_id FROM events WHERE event_id >= 5000")(lambda s, d: s.read.parquet(f"{d}/events.parquet").where("event_id < 2000").select(F.col("event_id").alias("p")).unionAll(s.read.parquet(f"{d}/events.parquet").where("event_id >= 5000").select("event_id")))
+query("concat_runs", "SELECT event_id AS p FROM events WHERE event_id < 2000 UNION ALL SELECT event_id FROM events WHERE event_id >= 5000")(lambda s, d: s.read.parquet(f"{d}/events.parquet").where("event_id < 2000").select(F.col("event_id").alias("p")).unionAll(s.read.parquet(f"{d}/events.parquet").where("event_id >= 2000").select("event_id")))
 
 # Replay and block reads.
 query("log_replay", f"WITH {KV} SELECT extent_id, seq, user_key FROM off WHERE (extent_id > 7 OR (extent_id = 7 AND \"offset\" >= 20000)) AND user_key >= 'u0050' AND user_key < 'u0100'")(lambda s, d: lg.replay(lg.placed(kv(s, d)), 7, 20000, "u0050", "u0100").select("extent_id", "seq", "user_key"))
@@ -206,7 +207,7 @@ query("hex_presplit", "SELECT i AS part_id, CASE WHEN i = 0 THEN '' ELSE lower(l
 query("presplit_route", f"WITH {KV}, h AS (SELECT DISTINCT substr(md5(user_key), 1, 8) AS h FROM kv) SELECT CAST(least(3, CAST('0x' || h AS BIGINT) // 1073741823) AS BIGINT) AS part_id, count(*) AS n FROM h GROUP BY 1")(lambda s, d: cat.route(kv(s, d).select(F.substring(F.md5("user_key"), 1, 8).alias("h")).distinct(), cat.hex_splits(s, 4), "h").groupBy("part_id").agg(F.count("*").alias("n")))
 query("region_lookup", f"WITH {KV}, {CATALOG} SELECT part_id, count(*) AS n, min(user_key) AS lo, max(user_key) AS hi FROM kv JOIN regions ON user_key >= start_key AND (end_key = '' OR user_key < end_key) GROUP BY part_id")(lambda s, d: cat.route(kv(s, d), regions(s)).groupBy("part_id").agg(F.count("*").alias("n"), F.min("user_key").alias("lo"), F.max("user_key").alias("hi")))
 query("region_gaps", "SELECT 2::BIGINT AS part_id, 'u0100' AS end_key, 'u0120' AS next_start")(lambda s, d: cat.gaps(s.createDataFrame([(1, "", "u0050"), (2, "u0050", "u0100"), (3, "u0120", "")], "part_id long, start_key string, end_key string")).select("part_id", "end_key", "next_start"))
-query("overlap_detection", f"WITH {_TABLES} SELECT part_id, max(CASE WHEN smallest >= 'u0003' AND biggest >= 'u0003' THEN 0 ELSE 1 END) = 1 AS overlap FROM tables WHERE part_id = 0 GROUP BY part_id")(lambda s, d: cat.overlapping(_tables(s, d), s.createDataFrame([(0, "u0003", "")], "part_id long, start_key string, end_key string")))
+query("overlap_detection", f"WITH {_TABLES} SELECT part_id, max(CASE WHEN smallest >= 'u0003' AND biggest >= 'u0003' THEN 0 ELSE 1 END) = 1 AS overlap FROM tables WHERE part_id = 0 GROUP BY part_id")(lambda s, d: cat.overlapping(_tables(s, d), _tables(s, d).select("part_id", F.lit("u0003").alias("start_key"), F.lit("").alias("end_key")).distinct()))
 query("split_point", f"WITH {BLOB}, b AS (SELECT extent_id FROM kv GROUP BY extent_id ORDER BY sum(entry_size) DESC, extent_id LIMIT 1), k AS (SELECT DISTINCT user_key FROM kv JOIN b USING (extent_id)), n AS (SELECT user_key, ntile(8) OVER (ORDER BY user_key) AS t FROM k) SELECT min(user_key) AS mid_key FROM n WHERE t = 5")(lambda s, d: cat.split_point(blob(s, d).join(_sizes(s, d).orderBy(F.desc("size"), "extent_id").limit(1), "extent_id", "left_semi"), 8))
 query("split_regions", f"WITH {CATALOG} SELECT part_id, start_key, CASE WHEN part_id = 2 THEN 'u0077' ELSE end_key END AS end_key FROM regions UNION ALL SELECT 4, 'u0077', end_key FROM regions WHERE part_id = 2")(lambda s, d: cat.split_regions(regions(s).drop("ps_id"), 2, "u0077", 4))
 query("prefix_presplit", "WITH s AS (SELECT DISTINCT r_name || x AS start_key FROM region, (VALUES ('3'), ('7')) t(x)) SELECT CASE WHEN row_number() OVER (ORDER BY start_key) = 1 THEN '' ELSE start_key END AS start_key, coalesce(lead(start_key) OVER (ORDER BY start_key), '') AS end_key FROM s")(lambda s, d: cat.prefix_splits(s.read.parquet(f"{d}/region.parquet").select(F.col("r_name").alias("prefix")), s.createDataFrame([("3",), ("7",)], "suffix string")))
