@@ -278,3 +278,17 @@ def test_forward_sums_all_segmentations():
     theta = np.array([[0.3], [0.2], [0.2], [0.2], [0.1], [1e-9]])
     got = op10_langid.Lattice(["ab"], op10_langid.prefixes_of(pieces), 5).likelihood(theta)[0, 0]
     assert abs(got - (0.3 * 0.2 * 0.2 + 0.3 * 0.2 + 0.1 * 0.2)) < 1e-12
+
+
+def test_pii_windows(spark):
+    texts = {"card": ["2024 4111 1111 1111 1111", "6304 0000 0000 0000 000 1", "3782 822463 10005"], "phone": ["01 23 45 67 89", "+49 30 1234567"], "ip": ["1.10.0.0.7"]}
+    want = {"card": ["4111 1111 1111 1111", "6304 0000 0000 0000 000", "3782 822463 10005"], "phone": ["01 23 45 67 89", "+49 30 1234567"], "ip": ["10.0.0.7"]}
+    for kind, of in texts.items():
+        df = spark.createDataFrame([("é " + t + " on",) for t in of], "text string")
+        got = {r.text: {r.text[x.start : x.end] for x in r.c} for r in df.select("text", op9_pii.candidates(F.col("text"), kind).alias("c")).collect()}
+        assert all(w in got["é " + t + " on"] for t, w in zip(of, want[kind])), got
+    # Trees that go by the check digit alone: of overlapping windows the right one is taken, though another begins before it.
+    k = op9_pii.FEATURES.index("luhn")
+    trees = op9_pii.Trees(np.array([[16 if i == 0 else int(i == k) * v for i in range(len(op9_pii.FEATURES))] for v in (0, 1)]), np.array([0.0, 50.0]), np.array([50.0, 0.0]))
+    df = spark.createDataFrame([("pay 2024 4111 1111 1111 1111 now",)], "text string")
+    assert [r.spans for r in op9_pii.found(df, {"card": (trees, 0.5)}).collect()] == [[("card", 9, 28)]]

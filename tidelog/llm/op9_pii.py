@@ -3,7 +3,8 @@
 The base patterns are matched leftmost and without overlap for each kind. Besides them, high-recall generators propose
 spans of each kind. Boosted trees of depth two, on features of format (digits, length, signs, check digit, octets) and
 context (what stands before and after), score them; candidates over their kind's calibrated threshold that touch no base
-span are added. No table has labels for personal data, so the trees learn from the base spans: a candidate that is one is
+span are added, of those that overlap the best first. Cards, phone numbers and addresses are proposed as every window of whole
+digit groups, e-mail addresses by one pattern without overlap. No table has labels for personal data, so the trees learn from the base spans: a candidate that is one is
 positive, one that touches none is negative, others teach nothing. The fit counts feature combinations of about
 FIT_TEXTS texts that have candidates; everything is searched whole, within its row and without any exchange.
 
@@ -29,9 +30,13 @@ BASE = {
 }
 WIDE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?:@|\x20?[(\[]at[)\]]\x20?)[A-Za-z0-9-]{1,63}(?:(?:\.|\x20?[(\[]dot[)\]]\x20?)[A-Za-z0-9-]{1,63}){1,6}",
-    "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9.])",
-    "card": r"(?<![0-9])[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{4}[\x20-]?[0-9]{1,4}(?![0-9])",
-    "phone": r"(?<![0-9+])\+?[0-9]{1,3}[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-]?[0-9]{3}[\x20.-]?[0-9]{4}(?![0-9])",
+}
+#: Kinds proposed as windows of digit groups: the stretch that the groups stand in, the least and most digits, the most groups,
+#: and a cheap condition without which a text has no window.
+WINDOWS = {
+    "ip": (r"[0-9][0-9.]*+", 4, 12, 4, r"[0-9]\.[0-9]"),
+    "card": (r"[0-9][0-9\x20-]*+", 13, 19, 19, r"[0-9](?:[\x20-]?[0-9]){12}"),
+    "phone": (r"\+?[0-9][0-9\x20().-]*+", 8, 15, 15, r"[0-9](?:[\x20().-]*+[0-9]){7}"),
 }
 FIT_TEXTS, TREES, RATE, PRECISION = 20_000, 20, 0.3, 0.95
 FEATURES = ("digits", "length", "plus", "paren", "dots", "gaps", "luhn", "octets", "at", "before", "after")
@@ -89,8 +94,43 @@ def _side(c: Column) -> Column:
     return F.when(c == "", 0).when(c.rlike(r"[\x20\x09-\x0D]"), 1).when(c.rlike("[0-9]"), 2).when(c.rlike(r"\p{L}"), 3).otherwise(4)
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with the value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def windows(text: Column, kind: str) -> Column:
+    """Every run of whole digit groups with the kind's number of digits, whatever else it overlaps."""
+    stretch, least, most, groups, may = WINDOWS[kind]
+
+    def fits(x: Column) -> Column:
+        length, n = F.length(x["s"]), F.length(_digits(x["s"]))
+        if kind == "phone":
+            return n.between(least, most)
+        single = length - n == x["groups"] - 1  # one sign between two groups
+        return n.between(least, most) & single & (~x["s"].rlike("[0-9]{4}") & (x["groups"] == groups) if kind == "ip" else F.lit(True))
+
+    def within(x: Column) -> Column:
+        def of(g: Column) -> Column:
+            def begin(one: Column, i: Column) -> Column:
+                at = F.when((i == 0) & F.startswith(x["s"], F.lit("+")), 0).otherwise(one["start"])
+
+                def to(j: Column) -> Column:
+                    end = F.get(g, j)["end"]
+                    return F.struct((x["start"] + at).alias("start"), (x["start"] + end).alias("end"), F.substring(x["s"], at + 1, end - at).alias("s"), (j - i + 1).alias("groups"))
+
+                return F.filter(F.transform(F.sequence(i, F.least(i + groups - 1, F.size(g) - 1)), to), fits)
+
+            return F.flatten(F.transform(g, begin))
+
+        return _let(matches(x["s"], "[0-9]++", F.lit(True)), of)
+
+    long = F.filter(matches(text, stretch, text.rlike(may)), lambda x: F.length(_digits(x["s"])) >= least)
+    return F.flatten(F.transform(long, within))
+
+
 def candidates(text: Column, kind: str) -> Column:
-    """Spans of the wide pattern with their features."""
+    """Proposed spans with their features."""
 
     def count(s: Column, signs: str) -> Column:
         return F.length(F.regexp_replace(s, f"[^{signs}]", ""))
@@ -105,7 +145,7 @@ def candidates(text: Column, kind: str) -> Column:
         }
         return F.struct(x["start"].alias("start"), x["end"].alias("end"), *(values[f].cast("int").alias(f) for f in FEATURES))
 
-    return F.transform(matches(text, WIDE[kind], _may(text, kind)), described)
+    return F.transform(windows(text, kind) if kind in WINDOWS else matches(text, WIDE[kind], _may(text, kind)), described)
 
 
 def searched(docs: DataFrame) -> DataFrame:
@@ -201,7 +241,12 @@ def _named(kind: str, spans: Column) -> Column:
 
 
 def _good(spans: Column, trees: Trees, least: float) -> Column:
-    return F.filter(spans, lambda x: (trees.column(x) >= least) & ~_touches(x, F.col("base")))
+    """Of the spans over the threshold that touch no base span, the best, then the best that touches none so far, and so on."""
+    free = F.filter(spans, lambda x: ~_touches(x, F.col("base")))
+    scored = F.transform(free, lambda x: F.struct((-trees.column(x)).alias("less"), (x["start"] - x["end"]).alias("shorter"), x["start"].alias("start"), x["end"].alias("end")))
+    order = F.array_sort(F.filter(scored, lambda x: x["less"] <= -least))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    return F.aggregate(order, none, lambda acc, x: F.when(_touches(x, acc), acc).otherwise(F.concat(acc, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"))))))
 
 
 def _of_kind(spans: Column, kind: str) -> Column:
