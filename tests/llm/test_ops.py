@@ -207,17 +207,33 @@ def test_bit_image(width):
     assert (f.ids(0, 3000) == ids).all() and (f.document(3) == ids[1001:]).all() and len(f.document(0)) == 0 and (f.ids(500, 700) == ids[500:1200]).all()
 
 
-def test_token_files(docs, none, tmp_path):
-    files = op7_bitpack.encode_files(docs, P.path("byte_bpe_50k.json"), 2, 50257)
-    rows = op7_bitpack.decode_files(files, op7_bitpack.crc).orderBy("start").collect()
+def test_token_files(docs, none, tmp_path, monkeypatch):
+    monkeypatch.setattr(op7_bitpack, "STEP_BYTES", 2000)
+    folder = f"file://{tmp_path}/files"
+    files = op7_bitpack.encode_files(docs, folder, P.path("byte_bpe_50k.json"), 2, 50257, file_ids=500)
+    rows = op7_bitpack.decode_files(files, folder, op7_bitpack.crc).orderBy("start").collect()
     t, at = Tokenizer.from_file(P.path("byte_bpe_50k.json")), 0
-    want = sorted(ROWS, key=lambda r: (-1 if r[0] is None else r[0]))
+    want, whole = sorted(ROWS, key=lambda r: (-1 if r[0] is None else r[0])), []
     for r, (i, x) in zip(rows, want, strict=True):
         ids = np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4")
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
-    assert len(op7_bitpack.export(files, str(tmp_path))) == files.count()
-    assert op7_bitpack.decode_files(op7_bitpack.encode_files(none, P.path("byte_bpe_50k.json"), 2, 50257)).count() == 0
+        whole.append(ids)
+    there = sorted((tmp_path / "files").glob("*"))
+    assert len(there) == files.count() > 3 and all(x.suffix == ".tlbp" for x in there)
+    images = [op7_bitpack.Image(x.read_bytes()) for x in there]
+    assert (np.concatenate([f.ids(0, f.n) for f in images]) == np.concatenate(whole)).all()
+    empty = f"file://{tmp_path}/empty"
+    assert op7_bitpack.decode_files(op7_bitpack.encode_files(none, empty, P.path("byte_bpe_50k.json"), 2, 50257), empty).count() == 0
+
+
+def test_encoder_starts_anew(monkeypatch):
+    texts = [f"word{k} {k * 7919} été{k}" for k in range(3000)]
+    small, large = Encoder(P.path("byte_bpe_50k.json"), True, most=100, most_ids=500), Encoder(P.path("byte_bpe_50k.json"), True)
+    for k in range(0, 3000, 300):
+        some = pa.array(texts[k : k + 300])
+        assert (small.ids(some)[0] == large.ids(some)[0]).all()
+    assert small.known.n < large.known.n
 
 
 def test_toxicity(spark, docs, none):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -33,22 +34,34 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     there = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not there:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         there = "file://" + tempfile.mkdtemp(prefix="tidelog-")
         context.setCheckpointDir(there)
     return there.rstrip("/")
 
 
+def gone_at_exit(spark: SparkSession, path: str) -> None:
+    """The path is deleted as the driver ends."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """The rows as a Parquet table in the shared folder: cuts the lineage, and outlives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    gone_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def freed(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of jobs whose frames are gone, which else stay until the driver's next collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remainder(column: str, by: int):
     """crc32 of the column as text, modulo ``by``; a null counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % by
@@ -165,21 +178,19 @@ def expand(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 class Known:
     """A growing map from 64-bit hashes to slots 0, 1, ...; emptied by its owner beyond ``most``.
 
-    Two tables of one entry a place answer nearly all; what finds both places taken is in sorted arrays."""
-
-    BITS = 21
+    Two tables of 2^bits entries, one a place, answer nearly all; what finds both places taken is in sorted arrays."""
 
-    def __init__(self, most: int = 1_500_000):
-        self.most = most
+    def __init__(self, most: int = 400_000, bits: int = 18):
+        self.most, self.bits = most, bits
         self.clear()
 
     def clear(self) -> None:
-        size = 1 << self.BITS
+        size = 1 << self.bits
         self.tables = [(np.zeros(size, np.uint64), np.full(size, -1, np.int32)) for _ in range(2)]
         self.keys, self.slots, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
 
     def _places(self, h: np.ndarray, k: int) -> np.ndarray:
-        return ((h >> np.uint64(k * self.BITS)) & np.uint64((1 << self.BITS) - 1)).astype(np.int64)
+        return ((h >> np.uint64(k * self.bits)) & np.uint64((1 << self.bits) - 1)).astype(np.int64)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Slots of the hashes; -1 where there is none."""

@@ -43,10 +43,6 @@ def vocabulary(path: str) -> dict[str, int]:
     return {model.id_to_piece(i): k for k, i in enumerate(usual)}
 
 
-class _Steps(Known):
-    BITS = 18
-
-
 class Prefixes:
     """Every beginning of a piece as a node: steps between them by a letter, and each one's piece (-1: none)."""
 
@@ -54,7 +50,7 @@ class Prefixes:
         names = sorted({p[:k] for p in pieces for k in range(1, len(p) + 1)})
         node = {"": 0} | {x: i for i, x in enumerate(names, 1)}
         self.piece = np.array([-1, *(pieces.get(x, -1) for x in names)], np.int64)
-        self.steps = _Steps()
+        self.steps = Known()
         self.steps.add(mix(np.array([node[x[:-1]] << 21 | ord(x[-1]) for x in names], np.uint64)))
 
     def step(self, node: np.ndarray, letter: np.ndarray) -> np.ndarray:
@@ -175,7 +171,7 @@ def fit(docs: DataFrame, vocabulary_path: str, texts: int = TEXTS, chars: int =
 class Scorer:
     def __init__(self, langs: list[str], theta: np.ndarray, pieces: dict[str, int]):
         self.langs, self.theta, self.prefixes = langs, theta, prefixes_of(pieces)
-        self.known = Known(1_000_000)
+        self.known = Known(200_000)
         self.log, self.letters = np.zeros((0, len(langs))), np.zeros(0, bool)
 
     def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, documents, schema_with, text_of, written
-from .tokens import encoder
+from .tokens import STEP_BYTES, encoder
 
 CAPACITY = 4096
 
@@ -143,7 +143,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = encoder(tokenizer, spaced=False)
         for batch in batches:
-            for some in blocks(batch):
+            for some in blocks(batch, most=STEP_BYTES):
                 ids, first = ids_of.ids(some.column("text"))
                 doc, piece, start, size, crc, kept = [], [], [], [], [], []
                 for i, key in enumerate(some.column("doc_id").to_pylist()):

@@ -5,8 +5,9 @@ documents' keys (i64; a null is -2^63), their id counts (u32, padded to 8 bytes)
 more than blocks), then the blocks. A block holds its ids' low ``width`` bits, least significant first, and
 begins on a byte, so any id is found from its block's offset alone. ``width`` is what the vocabulary needs.
 
-Images are written as rows of a Parquet table in the shared folder, in key order, because that is where every
-executor and store can commit whole files; ``export`` puts them into a folder as plain files.
+Tasks write files of about FILE_IDS ids into a folder that executors and driver share, through Arrow's file systems
+(local and mounted folders, HDFS, S3, GCS). A file gets its final name by a move, once it is whole; the name is its
+place in key order, so a task that runs again writes the same file. They are read back by Spark's binary reader.
 
 Nulls and empty texts give the end id alone; a null key comes first; rows of one key keep apart, ordered by
 text; an empty table gives no row; further columns are left out of the files."""
@@ -14,6 +15,7 @@ text; an empty table gives no row; further columns are left out of the files."""
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -23,11 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, documents, text_of, written
-from .tokens import encoder
+from .common import blocks, documents, gone_at_exit, shared_dir, text_of, written
+from .tokens import STEP_BYTES, encoder
 
 MAGIC = b"TLBP"
-BLOCK_IDS = 4096
+BLOCK_IDS, FILE_IDS = 4096, 8 << 20
 _HEAD = struct.Struct("<4sIIQQ")
 _NO_KEY = -(1 << 63)
 
@@ -93,46 +95,82 @@ class Image:
         return self.ids(int(self.starts[i]), int(self.counts[i]))
 
 
-def encode_files(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(part, seq, n_ids, n_docs, image) in key order: part is the key range, seq the file within it."""
+def _put(folder: str, name: str, data: bytes) -> None:
+    """The file under its name, whole or not at all."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(folder)
+    part = f"{path}/_{uuid.uuid4().hex}"
+    with store.open_output_stream(part) as f:
+        f.write(data)
+    store.move(part, f"{path}/{name}")
+
+
+def encode_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, vocabulary: int, key: str = "doc_id", text: str = "text", file_ids: int = FILE_IDS) -> DataFrame:
+    """Writes the files <part>-<seq>.tlbp into a new ``folder`` (a URI), in key order: part is the key range, seq the file
+    within it. Returns (part, seq, n_ids, n_docs) of each, a written table."""
+    from pyarrow import fs
+
     width = width_of(vocabulary)
+    store, path = fs.FileSystem.from_uri(folder)
+    store.create_dir(path)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, part, seq = encoder(tokenizer, spaced=True), TaskContext.get().partitionId(), 0
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def close() -> pa.RecordBatch:
+            keys, counts, ids = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            _put(folder, f"{part:06d}-{seq:06d}.tlbp", image(keys, counts, ids, width))
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([len(keys)], pa.int64())], ["part", "seq", "n_ids", "n_docs"])
+
         for batch in batches:
-            for some in blocks(batch):
+            for some in blocks(batch, most=STEP_BYTES):
                 ids, first = ids_of.ids(some.column("text"))
                 counts = np.diff(first) + 1
                 out = np.full(len(ids) + some.num_rows, end_id, np.uint32)
                 keep = np.ones(len(out), bool)
                 keep[np.cumsum(counts) - 1] = False
                 out[keep] = ids
-                keys = np.asarray(some.column("key").fill_null(_NO_KEY))
-                data = image(keys, counts, out, width)
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(out)], pa.int64()), pa.array([some.num_rows], pa.int64()), pa.array([data], pa.binary())], ["part", "seq", "n_ids", "n_docs", "image"])
-                seq += 1
+                held.append((np.asarray(some.column("key").fill_null(_NO_KEY)), counts, out))
+                if sum(len(x[2]) for x in held) >= file_ids:
+                    yield close()
+                    seq += 1
+        if held:
+            yield close()
 
     rows = docs.select(F.col(key).cast("long").alias("key"), text_of(text).alias("text"))
     ordered = rows.repartitionByRange("key").sortWithinPartitions("key", "text")
-    return ordered.mapInArrow(encode, "part int, seq int, n_ids long, n_docs long, image binary")
+    return written(ordered.mapInArrow(encode, "part int, seq int, n_ids long, n_docs long"), "op7-names")
 
 
-def decode_files(files: DataFrame, per_document: Callable[[np.ndarray], int] | None = None, key: str = "doc_id") -> DataFrame:
-    """Rows of the files' documents: key, start (ids of all before), n_tokens, ids, or ids_<digest> where a digest is given."""
+def decode_files(files: DataFrame, folder: str, per_document: Callable[[np.ndarray], int] | None = None, key: str = "doc_id") -> DataFrame:
+    """Rows of the documents in the folder's files: key, start (ids of all before), n_tokens, ids, or ids_crc32 where a
+    digest is given. ``files`` is what ``encode_files`` returned."""
     field = pa.field("ids_crc32", pa.int64()) if per_document else pa.field("ids", pa.list_(pa.int32()))
+    out = [key, "part", "seq", "at", "n_tokens", field.name]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                f = Image(row["image"])
-                ids = f.ids(0, f.n)
-                each = [ids[a : a + n] for a, n in zip(f.starts.tolist(), f.counts.tolist())]
-                value = pa.array([per_document(x) for x in each], pa.int64()) if per_document else pa.array([x.tolist() for x in each], field.type)
-                n = len(each)
-                yield pa.RecordBatch.from_arrays([pa.array(f.keys, mask=f.keys == _NO_KEY), pa.array([row["part"]] * n, pa.int32()), pa.array([row["seq"]] * n, pa.int32()), pa.array(f.starts), pa.array(f.counts), value], [key, "part", "seq", "at", "n_tokens", field.name])
+            for i in range(batch.num_rows):
+                f = Image(batch.column("content")[i].as_buffer())
+                part, seq = (int(x) for x in batch.column("name")[i].as_py().split("-"))
+                for a in range(0, len(f.keys), 4096):  # some documents at a time, by their blocks
+                    starts, counts = f.starts[a : a + 4096], f.counts[a : a + 4096]
+                    ids = f.ids(int(starts[0]), int(counts.sum()))
+                    each = [ids[x : x + n] for x, n in zip((starts - starts[0]).tolist(), counts.tolist())]
+                    value = pa.array([per_document(x) for x in each], pa.int64()) if per_document else pa.array([x.tolist() for x in each], field.type)
+                    n, keys = len(each), f.keys[a : a + 4096]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, mask=keys == _NO_KEY), pa.array([part] * n, pa.int32()), pa.array([seq] * n, pa.int32()), pa.array(starts), pa.array(counts), value], out)
 
     kind = "ids_crc32 long" if per_document else "ids array<int>"
-    rows = files.select("part", "seq", "image").mapInArrow(decode, f"{key} long, part int, seq int, at long, n_tokens long, {kind}")
+    schema = f"{key} long, part int, seq int, at long, n_tokens long, {kind}"
+    spark = files.sparkSession
+    if files.isEmpty():
+        return spark.createDataFrame([], schema).select(key, F.col("at").alias("start"), "n_tokens", field.name)
+    there = spark.read.format("binaryFile").option("pathGlobFilter", "*.tlbp").load(folder)
+    rows = there.select(F.regexp_extract("path", r"([0-9]+-[0-9]+)\.tlbp$", 1).alias("name"), "content").mapInArrow(decode, schema)
     # One row a key range is all that the only unpartitioned window sees.
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before_part = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before_part"))
@@ -141,19 +179,6 @@ def decode_files(files: DataFrame, per_document: Callable[[np.ndarray], int] | N
     return rows.join(starts, ["part", "seq"]).select(key, (F.col("before") + F.col("at")).alias("start"), "n_tokens", field.name)
 
 
-def export(files: DataFrame, folder: str) -> list[str]:
-    """Writes the images as plain files into a local or mounted folder, one at a time; returns their paths in order."""
-    import os
-
-    os.makedirs(folder, exist_ok=True)
-    out = []
-    for row in files.orderBy("part", "seq").toLocalIterator():
-        out.append(f"{folder}/{row.part:06d}-{row.seq:06d}.tlbp")
-        with open(out[-1], "wb") as f:
-            f.write(row.image)
-    return out
-
-
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
@@ -161,5 +186,7 @@ def crc(ids: np.ndarray) -> int:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    files = encode_files(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), 2, 50257)
-    return decode_files(written(files, "op7-files", "none"), crc)
+    folder = f"{shared_dir(spark)}/op7-files-{uuid.uuid4().hex}"
+    gone_at_exit(spark, folder)
+    files = encode_files(documents(spark, sf_dir), folder, public_tokenizers.path("byte_bpe_50k.json"), 2, 50257)
+    return decode_files(files, folder, crc)

@@ -75,7 +75,7 @@ class Model:
 
 class Scanner:
     def __init__(self, model: Model):
-        self.model, self.known, self.value = model, Known(1_000_000), np.zeros(0)
+        self.model, self.known, self.value = model, Known(), np.zeros(0)
 
     def segments(self, column: pa.Array) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
         """Words of each text, and its segments."""

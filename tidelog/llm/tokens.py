@@ -4,7 +4,8 @@ Both vocabularies cut a text before their merges: at white space, and between le
 other signs. So the ids of a text are those of its pieces one after another. The pieces are words,
 ``spaced`` ones with the one space before them and the white space between, cut further where a
 Latin letter or digit meets an ASCII sign (but not after an apostrophe, as 's is one token). A
-worker keeps what it has encoded. Texts in which a piece may depend on its neighbours (other white
+worker keeps what it has encoded, up to MOST pieces or MOST_IDS ids, and then starts anew: that bounds
+its memory and changes no result. Texts in which a piece may depend on its neighbours (other white
 space than ASCII's, special tokens) go to the library whole."""
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ import pyarrow as pa
 
 from .common import Known, Words, expand, hash_spans
 
+#: Pieces and ids that a worker keeps; bytes of text that it takes at a time.
+MOST, MOST_IDS, STEP_BYTES = 400_000, 2_000_000, 1 << 20
+
 _ODD = re.compile("<\\||[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 _LATIN = re.compile("(?: (?=.))?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch
@@ -91,11 +95,11 @@ def cut_at_signs(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np
 class Encoder:
     """ids(column) gives all ids one after another and each row's first place (one more than rows)."""
 
-    def __init__(self, path: str, spaced: bool, most: int = 1_500_000):
+    def __init__(self, path: str, spaced: bool, most: int = MOST, most_ids: int = MOST_IDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.spaced, self.known = Tokenizer.from_file(path), spaced, Known(most)
+        self.tokenizer, self.spaced, self.known, self.most_ids = Tokenizer.from_file(path), spaced, Known(most), most_ids
         self._clear()
 
     def _clear(self) -> None:
@@ -143,7 +147,7 @@ class Encoder:
             words = Words(pa.array(["" if i in whole else x for i, x in enumerate(column.to_pylist())], pa.string()))
         starts, ends, rows = spaced_pieces(words) if self.spaced else (words.starts, words.ends, words.rows)
         starts, ends, rows = cut_at_signs(words.buf, starts, ends, rows)
-        if self.known.n > self.known.most:
+        if self.known.n > self.known.most or self.used > self.most_ids:
             self._clear()
 
         def learn(places: np.ndarray) -> None:
