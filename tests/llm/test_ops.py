@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidelog.llm import op1_ngram, op2_sharding, op3_quality, op4_simhash, op5_decontam, op6_packing, op7_bitpack, op8_toxicity, op9_pii, op10_langid
-from tidelog.llm.eliasfano import EliasFano, Trie, load, save
+from tidelog.llm.eliasfano import EliasFano, Level, Trie, load, save
 from tidelog.llm.tokens import Encoder
 
 random.seed(3)
@@ -38,10 +38,13 @@ def _words(t):
     return (t or "").encode().lower().split()
 
 
-@pytest.mark.parametrize("order", [2, 3])
-def test_ngram(docs, none, order):
+@pytest.mark.parametrize("order,shard_tokens", [(2, op1_ngram.SHARD_TOKENS), (3, op1_ngram.SHARD_TOKENS), (3, 400), (2, 400)])
+def test_ngram(docs, none, order, shard_tokens, monkeypatch):
+    """The small shards make some words hot, whose windows are dealt to all shards."""
+    if shard_tokens < 1000:
+        monkeypatch.setattr(op1_ngram, "OFTEN", 3)
     held = "crc32(coalesce(cast(doc_id as string), '')) % 7 = 2"
-    got = {(r.doc_id, r.n_tokens): r for r in op1_ngram.score(docs, held, order, block_bytes=4000).collect()}
+    got = {(r.doc_id, r.n_tokens): r for r in op1_ngram.score(docs, held, order, block_bytes=4000, shard_tokens=shard_tokens).collect()}
     assert op1_ngram.score(docs, held, order).count() == len(ROWS)
     one, ctx, kinds = Counter(), Counter(), Counter()
     grams = Counter()
@@ -90,7 +93,22 @@ def test_elias_fano(tmp_path):
         assert (e.successor(probe) == np.searchsorted(x, probe)).all()
         assert (e.find(probe) == np.where(np.isin(probe, x), np.searchsorted(x, probe), -1)).all()
         assert (e.access(np.arange(len(x))) == x).all()
-    assert Trie(Trie.build(np.array([3], np.uint64), *(np.zeros(0, np.int64),) * 3, np.zeros(0))).n == 1
+    none = np.zeros(0, np.int64)
+    assert Trie(Trie.build(np.array([3], np.uint64), np.zeros(1, bool), (none,) * 4, (none,) * 3)).n == 1
+
+
+def test_level_finds_children(tmp_path):
+    rng = np.random.default_rng(4)
+    have = sorted({(int(a), int(b)) for a, b in zip(rng.integers(0, 40, 300), rng.integers(0, 100, 300)) if a % 7})
+    owner, child = (np.array(x, np.int64) for x in zip(*have))
+    save(str(tmp_path / "l"), Level.build(owner, child, 45, 100))
+    level = Level(load(str(tmp_path / "l")))
+    node, probe = (x.ravel() for x in np.meshgrid(np.arange(45), np.arange(100), indexing="ij"))
+    at, begin = level.find(node, probe)
+    place = {x: i for i, x in enumerate(have)}
+    assert at.tolist() == [place.get(x, -1) for x in zip(node.tolist(), probe.tolist())]
+    assert (begin == np.searchsorted(owner, node)).all()
+    assert (level.pointers.access(np.arange(46)) == np.searchsorted(owner, np.arange(46))).all()
 
 
 def test_sharding(docs, none, spark):

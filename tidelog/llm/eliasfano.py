@@ -15,7 +15,7 @@ for _b in range(256):
 
 
 class EliasFano:
-    """A strictly rising sequence below ``universe``: low bits packed, high bits in unary."""
+    """A rising sequence (equal elements allowed) below ``universe``: low bits packed, high bits in unary."""
 
     @staticmethod
     def build(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
@@ -40,16 +40,19 @@ class EliasFano:
         self.high, self.lows = parts["high"], parts["low"]
         self.n, self.low = (int(x) for x in parts["shape"])
         self.zeros = np.concatenate([[0], np.cumsum(64 - np.bitwise_count(self.high).astype(np.int64))])
-
-    def _select0(self, k: np.ndarray) -> np.ndarray:
-        word = np.searchsorted(self.zeros, k, "right") - 1
-        left = k - self.zeros[word]
-        octets = (~self.high[word]).view(np.uint8).reshape(-1, 8)
-        sums = np.cumsum(_POP[octets], axis=1, dtype=np.int64)
+        self.ones = 64 * np.arange(len(self.zeros)) - self.zeros
+
+    def _select(self, before: np.ndarray, flip: bool, k: np.ndarray) -> np.ndarray:
+        """Place of the k-th one of the high bits (of the k-th zero, if flipped)."""
+        word = np.searchsorted(before, k, "right") - 1
+        left = (k - before[word]).astype(np.uint8)
+        bits = self.high[word]
+        octets = (~bits if flip else bits).view(np.uint8).reshape(-1, 8)
+        sums = np.cumsum(_POP[octets], axis=1, dtype=np.uint8)
         byte = (sums <= left[:, None]).sum(axis=1)
         row = np.arange(len(k))
-        before = np.where(byte > 0, sums[row, np.maximum(byte - 1, 0)], 0)
-        return word * 64 + byte * 8 + _SELECT[octets[row, byte], left - before]
+        left -= np.where(byte > 0, sums[row, np.maximum(byte - 1, 0)], np.uint8(0))
+        return word * 64 + byte * 8 + _SELECT[octets[row, byte], left]
 
     def _low_at(self, i: np.ndarray) -> np.ndarray:
         if not self.low:
@@ -61,49 +64,78 @@ class EliasFano:
         second = np.where(over, self.lows[word + 1] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
         return (first | second) & np.uint64((1 << self.low) - 1)
 
-    def successor(self, values: np.ndarray) -> np.ndarray:
-        """Index of the first element not below each value (the length if there is none)."""
+    def _search(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index of the first element not below each value within the bucket of its high part, the bucket's end, low bits."""
         values = values.astype(np.uint64)
         high = (values >> np.uint64(self.low)).astype(np.int64)
-        end = self._select0(high) - high  # elements with a high part up to this one
-        start = np.zeros(len(values), np.int64)
+        end = self._select(self.zeros, True, high) - high
+        lo = np.zeros(len(values), np.int64)
         on = high > 0
-        start[on] = self._select0(high[on] - 1) - (high[on] - 1)
-        low = values & np.uint64((1 << self.low) - 1)
-        lo, hi = start, end.copy()
+        lo[on] = self._select(self.zeros, True, high[on] - 1) - (high[on] - 1)
+        low, hi = values & np.uint64((1 << self.low) - 1), end.copy()
         open_ = np.flatnonzero(lo < hi)
-        while len(open_):  # halves within the bucket of one high part
+        while len(open_):  # halves
             mid = (lo[open_] + hi[open_]) >> 1
             less = self._low_at(mid) < low[open_]
             lo[open_[less]] = mid[less] + 1
             hi[open_[~less]] = mid[~less]
             open_ = open_[lo[open_] < hi[open_]]
-        return lo
+        return lo, end, low
+
+    def successor(self, values: np.ndarray) -> np.ndarray:
+        """Index of the first element not below each value (the length if there is none)."""
+        return self._search(values)[0]
 
     def access(self, i: np.ndarray) -> np.ndarray:
         """The elements at these places."""
-        ones = np.concatenate([[0], np.cumsum(np.bitwise_count(self.high).astype(np.int64))])
-        word = np.searchsorted(ones, i, "right") - 1
-        left = i - ones[word]
-        octets = self.high[word].view(np.uint8).reshape(-1, 8)
-        sums = np.cumsum(_POP[octets], axis=1, dtype=np.int64)
-        byte = (sums <= left[:, None]).sum(axis=1)
-        row = np.arange(len(i))
-        before = np.where(byte > 0, sums[row, np.maximum(byte - 1, 0)], 0)
-        place = word * 64 + byte * 8 + _SELECT[octets[row, byte], left - before]
+        place = self._select(self.ones, False, i)
         return ((place - i).astype(np.uint64) << np.uint64(self.low)) | self._low_at(i)
 
     def find(self, values: np.ndarray) -> np.ndarray:
         """Index of each value; -1 where it is not an element."""
-        at = self.successor(values)
-        inside = np.minimum(at, max(self.n - 1, 0))
-        if not self.n:
-            return np.full(len(values), -1, np.int64)
-        same = (at < self.n) & (self._low_at(inside) == (values.astype(np.uint64) & np.uint64((1 << self.low) - 1)))
-        # Equal low bits within the bucket mean equality; a successor from a later bucket has a larger high part.
-        high = (values.astype(np.uint64) >> np.uint64(self.low)).astype(np.int64)
-        same[same] &= inside[same] < self._select0(high[same]) - high[same]
-        return np.where(same, at, -1)
+        at, end, low = self._search(values)
+        hit = at < end
+        hit[hit] = self._low_at(at[hit]) == low[hit]
+        return np.where(hit, at, -1)
+
+
+class Level:
+    """The children of a level's nodes: a monotone pointer for each node to where its children begin, and their ids.
+
+    Both are Elias-Fano sequences. Ids rise within a node; each node's are raised by the last value of the node before
+    it, so that the whole level rises, as its pointers do."""
+
+    @staticmethod
+    def build(owner: np.ndarray, child: np.ndarray, owners: int, span: int) -> dict[str, np.ndarray]:
+        """owner: sorted nodes below ``owners``; child: rising ids below ``span`` within each."""
+        pointers = np.searchsorted(owner, np.arange(owners + 1))
+        last = pointers[1:] - 1
+        most = np.where(pointers[1:] > pointers[:-1], child[np.maximum(last, 0)] + 1 if len(child) else 0, 0).astype(np.int64)
+        ends = np.cumsum(most)
+        values = (ends - most)[owner] + child + 1
+        out = {f"ids.{k}": x for k, x in EliasFano.build(values, int(ends[-1] if owners else 0) + span + 2).items()}
+        return out | {f"pointers.{k}": x for k, x in EliasFano.build(pointers, len(owner) + 1).items()}
+
+    def __init__(self, parts: dict[str, np.ndarray]):
+        self.ids, self.pointers = (EliasFano({k: parts[f"{x}.{k}"] for k in ("high", "low", "shape")}) for x in ("ids", "pointers"))
+
+    def ranges(self, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the children of these nodes begin and end, and by what their ids are raised."""
+        begin, end = (self.pointers.access(node + k).astype(np.int64) for k in (0, 1))
+        raised = np.zeros(len(node), np.int64)
+        on = begin > 0
+        raised[on] = self.ids.access(begin[on] - 1).astype(np.int64)
+        return begin, end, raised
+
+    def find(self, node: np.ndarray, child: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each child in the level (-1: there is none), and where its node's children begin; fastest for runs of a node."""
+        if not len(node):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        new = np.concatenate([[True], node[1:] != node[:-1]])
+        run = np.cumsum(new) - 1
+        begin, end, raised = (x[run] for x in self.ranges(node[new]))
+        at = self.ids.find(raised + child + 1)
+        return np.where((at >= begin) & (at < end), at, -1), begin
 
 
 #: Codes 1..65534 are even steps of log10 from LEAST to 0; 0 means none.
@@ -142,68 +174,70 @@ def load(path: str) -> dict[str, np.ndarray]:
     return {name: whole[base + at : base + at + np.dtype(kind).itemsize * size].view(kind) for name, (kind, size, at) in head.items()}
 
 
+#: A hot word's counts are stored as this share of a count.
+COUNT = 1e-10
+
+
 class Trie:
-    """Counts of n-grams of order 2 or 3 in reversed-context order, smoothed by Witten and Bell's interpolation.
+    """Counts of trigrams, with their contexts' last word first, smoothed by Witten and Bell's interpolation.
 
-    Level ``words``: the hashes of all words, an Elias-Fano sequence; a word's rank is its place. Level ``two``:
-    (context, word) as context rank * words + word rank, so the successors of a context are one stretch of a rising
-    sequence. Level ``pairs``: (last word, word before it) of longer contexts. Level ``three``: for each pair, its
-    successors by their place among the successors of the shorter context, which is a smaller number than a rank.
-    p(w | context) is A + B * p(w): ``ask`` gives A and B."""
+    ``words``: the hashes of all words, an Elias-Fano sequence; a word's rank is its place. Level ``two``: the words after
+    a word. Level ``pairs``: the words before a word, so that its nodes are pairs. Level ``three``: the words after a
+    pair, by their place among the words after its last word, which is a smaller number than a rank. A context's
+    probability mass is shared with the shorter context: p(w | context) is A + R * p(w | shorter context), and the trie
+    holds A for each word after a context and R for each context, quantised. Of hot words the trie has only a part of the
+    words after them: it holds the counts of these, and how many they are (``kinds``)."""
 
     @staticmethod
-    def build(words: np.ndarray, last: np.ndarray, before: np.ndarray | None, word: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
-        """words: sorted hashes; last, before, word: ranks of each counted window, in any order, repeats allowed."""
-        n = np.uint64(max(len(words), 1))
+    def build(words: np.ndarray, hot: np.ndarray, tri: tuple[np.ndarray, ...], two: tuple[np.ndarray, ...]) -> dict[str, np.ndarray]:
+        """words: sorted hashes; hot: which are; tri: ranks of last, before, word, and counts; two: last, word, counts of the
+        hot words' successors. Rows may be in any order and repeat."""
+        n = max(len(words), 1)
+        last, before, word, counts = (x.astype(np.int64) for x in tri)
         out = {f"words.{k}": x for k, x in EliasFano.build(words, 1 << 64).items()}
-        two, at = np.unique(last.astype(np.uint64) * n + word.astype(np.uint64), return_inverse=True)
-        count = np.bincount(at, counts, len(two))
-        context = (two // n).astype(np.int64)
-        total, kinds = np.bincount(context, count, len(words)), np.bincount(context, minlength=len(words))
+        key, at = np.unique(np.concatenate([last * n + word, two[0].astype(np.int64) * n + two[1]]), return_inverse=True)
+        own = np.concatenate([np.where(hot[last], 0, counts), two[2]]).astype(float)
+        count, context = np.bincount(at, own, len(key)), key // n
+        total, kinds = np.bincount(context, count, len(words)), np.bincount(context, count > 0, len(words))
         with np.errstate(invalid="ignore"):
             rest = np.where(total > 0, kinds / (total + kinds), 1.0)
-        out |= {f"two.{k}": x for k, x in EliasFano.build(two, int(n) ** 2).items()}
-        out |= {"two.p": quantise(count / (total + kinds)[context]), "words.rest": quantise(rest)}
-        if before is not None:
-            pairs, pair = np.unique(last.astype(np.uint64) * n + before.astype(np.uint64), return_inverse=True)
-            first = np.searchsorted(context, last)  # the shorter context's first successor
-            place = (at - first).astype(np.uint64)
-            most = np.uint64(kinds.max(initial=0) + 1)
-            three, which = np.unique(pair.astype(np.uint64) * most + place, return_inverse=True)
-            count = np.bincount(which, counts, len(three))
-            owner = (three // most).astype(np.int64)
-            total, kinds3 = np.bincount(owner, count, len(pairs)), np.bincount(owner, minlength=len(pairs))
-            out |= {f"pairs.{k}": x for k, x in EliasFano.build(pairs, int(n) ** 2).items()}
-            out |= {f"three.{k}": x for k, x in EliasFano.build(three, int(most) * max(len(pairs), 1)).items()}
-            out |= {"three.p": quantise(count / (total + kinds3)[owner]), "pairs.rest": quantise(kinds3 / (total + kinds3)), "most": np.array([most], np.uint64)}
-        return out
+            share = np.where(hot[context], count * COUNT, count / (total + kinds)[context])
+        out |= {f"two.{k}": x for k, x in Level.build(context, key % n, len(words), n).items()}
+        out |= {"two.a": quantise(share), "words.r": quantise(rest), "hot": np.flatnonzero(hot), "kinds": kinds[hot].astype(np.int64)}
+        place = at[: len(last)] - np.searchsorted(context, last)
+        pairs, pair = np.unique(last * n + before, return_inverse=True)
+        span = int(place.max(initial=0)) + 1
+        key, at = np.unique(pair * span + place, return_inverse=True)
+        count, owner = np.bincount(at, counts, len(key)), key // span
+        total, kinds = np.bincount(owner, count, len(pairs)), np.bincount(owner, minlength=len(pairs))
+        out |= {f"pairs.{k}": x for k, x in Level.build(pairs // n, pairs % n, len(words), n).items()}
+        out |= {f"three.{k}": x for k, x in Level.build(owner, key % span, len(pairs), len(words) + 1).items()}
+        return out | {"three.a": quantise(count / (total + kinds)[owner]), "pairs.r": quantise(kinds / (total + kinds))}
 
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.a = arrays
-        part = lambda name: EliasFano({k: arrays[f"{name}.{k}"] for k in ("high", "low", "shape")})
-        self.words, self.two = part("words"), part("two")
-        self.pairs, self.three = (part("pairs"), part("three")) if "pairs.high" in arrays else (None, None)
-        self.n = np.uint64(max(self.words.n, 1))
+        self.words = EliasFano({k: arrays[f"words.{k}"] for k in ("high", "low", "shape")})
+        self.two, self.pairs, self.three = (Level({k[len(x) + 1 :]: a for k, a in arrays.items() if k.startswith(f"{x}.")}) for x in ("two", "pairs", "three"))
+        self.n = self.words.n
 
     def ranks(self, hashes: np.ndarray) -> np.ndarray:
         return self.words.find(hashes)
 
-    def ask(self, last: np.ndarray, before: np.ndarray | None, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A and B for windows of ranks; every word must be in the trie's words (counted or not)."""
-        base = last.astype(np.uint64) * self.n
-        at = self.two.find(base + word.astype(np.uint64))
-        hit = at >= 0
-        a, b = np.zeros(len(last)), value(self.a["words.rest"][last])
-        a[hit] = value(self.a["two.p"][at[hit]])
-        if before is not None and self.pairs is not None:
-            pair = self.pairs.find(base + before.astype(np.uint64))
-            on = np.flatnonzero(pair >= 0)
-            rest = value(self.a["pairs.rest"][pair[on]])
-            a[on] *= rest
-            b[on] *= rest
-            deep = on[hit[on]]
-            first = self.two.successor(base[deep])
-            third = self.three.find(pair[deep].astype(np.uint64) * self.a["most"][0] + (at[deep] - first).astype(np.uint64))
-            ok = third >= 0
-            a[deep[ok]] += value(self.a["three.p"][third[ok]])
-        return a, b
+    def after_word(self, last: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Codes of A for words after a word (of a hot word: of their counts); 0 where there is none."""
+        at, _ = self.two.find(last, word)
+        return np.where(at >= 0, self.a["two.a"][np.maximum(at, 0)] if len(self.a["two.a"]) else 0, 0).astype(np.uint16)
+
+    def after_pair(self, pair: np.ndarray, last: np.ndarray, before: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of A for words after pairs, and of R for the pairs; pair: index of each row's pair among (last, before)."""
+        node, _ = self.pairs.find(last, before)
+        known = node >= 0
+        rest = np.full(len(node), quantise(np.ones(1))[0], np.uint16)
+        rest[known] = self.a["pairs.r"][node[known]]
+        out = np.zeros(len(word), np.uint16)
+        some = np.flatnonzero(known[pair])
+        at, begin = self.two.find(last[pair[some]], word[some])
+        some, place = some[at >= 0], (at - begin)[at >= 0]
+        at, _ = self.three.find(node[pair[some]], place)
+        out[some[at >= 0]] = self.a["three.a"][at[at >= 0]]
+        return out, rest

@@ -6,6 +6,11 @@ of all messages, builds its trie, maps it from a file and answers the messages.
 looks up, repeats within a block travel once, and no part of the model is ever on the driver or broadcast. Shards
 grow in number with the tokens; blocks can be enlarged with ``block_bytes`` on larger inputs.
 
+A window of three words belongs to the shard of its middle word. Middle words with over a quarter of a shard's tokens
+are hot: their windows are dealt to all shards by the word before as well, and the two-word windows by the word after.
+Pairs of words stay whole so; how often and before how many words a hot word stands is summed over the shards, one
+row for each hot word and shard.
+
 The model interpolates by Witten and Bell: p(w | h) = (c(hw) + T(h) p(w | shorter h)) / (c(h) + T(h)), T the number
 of distinct successors, down to p(w) = (c + 1) / (N + V + 1), where all unknown words share one place. Stored
 probabilities are quantised to 65,534 steps of log10, 0.0002 apart.
@@ -28,146 +33,225 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, Words, blocks, distinct, documents, remainder, text_of, written
-from .eliasfano import Trie, load, quantise, save, value
+from .common import LOWER, Words, blocks, distinct, documents, freed, mix, remainder, text_of, written
+from .eliasfano import COUNT, Trie, load, quantise, save, value
 
 ORDER = 3
-BLOCK = 16 << 20
-SHARD_TOKENS = 4_000_000
+BLOCK, STEP = 8 << 20, 2 << 20
+SHARD_TOKENS, HOT = 2_000_000, 4
+#: Words that stand so often in a block are counted before the messages, to find the hot ones.
+OFTEN = 64
 BEGIN, END = np.uint64(1), np.uint64(2)
 
 
 def _squeeze(a: np.ndarray) -> bytes:
-    return pa.compress(a.tobytes(), "zstd", asbytes=True)
+    """The array's bytes, all first ones first, compressed."""
+    return pa.compress(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes(), "zstd", asbytes=True)
 
 
 def _spread(data: bytes, n: int, kind: str) -> np.ndarray:
-    size = np.dtype(kind).itemsize * n
-    return np.frombuffer(pa.decompress(data, size, "zstd", asbytes=True), kind) if n else np.zeros(0, kind)
+    size = np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(data, size * n, "zstd", asbytes=True), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+_LONGS = pa.list_(pa.int64())
+_BLOCKS = pa.schema([("block", pa.int64()), ("n_tokens", pa.int64()), ("doc_id", _LONGS), ("held", pa.list_(pa.bool_())), ("lens", pa.list_(pa.int32())), ("often", _LONGS), ("times", _LONGS), ("vocab", pa.binary()), ("tokens", pa.binary())])
 
 
 def to_blocks(docs: DataFrame, held: str, block_bytes: int = BLOCK) -> DataFrame:
-    """(block, n_docs, doc_id[], held[], lens[], vocab, tokens) of (doc_id, text, held)."""
+    """(block, n_tokens, doc_id[], held[], lens[], often[], times[], vocab, tokens) of (doc_id, text, held): token places
+    and the hashes of their words, and the words that are there OFTEN."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 0
         for batch in batches:
             for some in blocks(batch, "text", block_bytes):
-                words = Words(some.column("text"), LOWER)
-                vocab, _, index = distinct(words.hashes())
-                lens = np.diff(words.first).astype(np.int32)
-                row = [[TaskContext.get().partitionId() << 32 | n], [some.num_rows], [len(vocab)], [len(index)], [some.column("doc_id").to_pylist()], [some.column("held").to_pylist()], [lens.tolist()], [vocab.tobytes()], [_squeeze(index.astype(np.uint32))]]
+                hashes, lens = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+                for part in blocks(some, "text", min(STEP, block_bytes)):
+                    words = Words(part.column("text"), LOWER)
+                    hashes.append(words.hashes())
+                    lens.append(np.diff(words.first))
+                vocab, _, index = distinct(np.concatenate(hashes))
+                count = np.bincount(index, minlength=len(vocab))
+                often = np.flatnonzero(count >= OFTEN)
+                kept = [vocab[often].view(np.int64).tolist(), count[often].tolist()]
+                if some.num_rows >= OFTEN:
+                    kept = [[*kept[0], int(BEGIN)], [*kept[1], some.num_rows]]
+                row = [[TaskContext.get().partitionId() << 32 | n], [len(index)], [some.column("doc_id").to_pylist()], [some.column("held").to_pylist()], [np.concatenate(lens).tolist()], *([x] for x in kept), [vocab.tobytes()], [_squeeze(index.astype("<u4"))]]
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, _BLOCKS)], _BLOCKS)
                 n += 1
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.expr(held).alias("held"))
-    return rows.mapInArrow(run, "block long, n_docs long, n_vocab long, n_tokens long, doc_id array<long>, held array<boolean>, lens array<int>, vocab binary, tokens binary")
+    return rows.mapInArrow(run, "block long, n_tokens long, doc_id array<long>, held array<boolean>, lens array<int>, often array<long>, times array<long>, vocab binary, tokens binary")
 
 
-_BLOCKS = pa.schema([("block", pa.int64()), ("n_docs", pa.int64()), ("n_vocab", pa.int64()), ("n_tokens", pa.int64()), ("doc_id", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lens", pa.list_(pa.int32())), ("vocab", pa.binary()), ("tokens", pa.binary())])
+def _known(hashes: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+    """Which hashes are among the sorted ones."""
+    if not len(sorted_):
+        return np.zeros(len(hashes), bool)
+    return sorted_[np.minimum(np.searchsorted(sorted_, hashes), len(sorted_) - 1)] == hashes
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Rows at which one of the columns changes, the first row included."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = False
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new
 
 
 class Block:
-    """A block's words and its distinct windows, in an order that both the asking and the reading side derive."""
+    """A block's words, and its distinct windows of three and two words in the order of their shards: the asking and the
+    reading side derive the same."""
 
-    def __init__(self, row: dict, order: int, shards: int):
+    def __init__(self, row: dict, order: int, shards: int, hot: np.ndarray):
         vocab = np.frombuffer(row["vocab"], np.uint64)
         self.lens = np.array(row["lens"], np.int64) + 1  # with the end
         self.hashes = np.concatenate([vocab, [END, BEGIN]]).astype(np.uint64)
-        end, begin = len(vocab), len(vocab) + 1
+        size, end, begin = len(self.hashes), len(vocab), len(vocab) + 1
         stop = np.cumsum(self.lens) - 1
         start = stop - self.lens + 1
         total = int(self.lens.sum())
-        word = np.full(total, end, np.int64)
+        word = np.full(total, end, np.int32)
         inner = np.ones(total, bool)
         inner[stop] = False
         word[inner] = _spread(row["tokens"], row["n_tokens"], "<u4")
-        last = np.concatenate([[begin], word[:-1]]).astype(np.int64)[:total]
+        last = np.concatenate([[begin], word[:-1]]).astype(np.int32)[:total]
         last[start] = begin
-        before = np.concatenate([[begin], last[:-1]]).astype(np.int64)[:total]
+        before = np.concatenate([[begin], last[:-1]]).astype(np.int32)[:total]
         before[start] = begin
-        self.word, self.doc = word, np.repeat(np.arange(len(self.lens)), self.lens)
-        self.train = ~np.repeat(np.array(row["held"], bool), self.lens)
-        self.shard_of = ((self.hashes >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
-        # Words in the order of shards, so that keys sort by shard first.
-        by_shard = np.argsort(self.shard_of, kind="stable")
-        place = np.empty(len(by_shard), np.int64)
-        place[by_shard] = np.arange(len(by_shard))
-        size = len(self.hashes)
-        key = place[last] * size
-        if order == 3:
-            key = (key + before) * size
-        keys, self.window = np.unique(key + word, return_inverse=True)
-        self.w = keys % size
-        keys //= size
-        self.b = None
-        if order == 3:
-            self.b = keys % size
-            keys //= size
-        self.l = by_shard[keys]
-        self.count = np.bincount(self.window[self.train], minlength=len(self.w))
-        self.bounds = np.searchsorted(self.shard_of[self.l], np.arange(shards + 1))  # windows of each shard
-        self.asked = by_shard[self.shard_of[by_shard] >= 0]
-        self.asked_bounds = np.searchsorted(self.shard_of[by_shard], np.arange(shards + 1))
-        self.word_count = np.bincount(word[self.train], minlength=size)
-
-
-def _messages(order: int, shards: int):
+        if order == 2:
+            before[:] = begin
+        self.word = word
+        held = np.array(row["held"], bool)
+        train = ~np.repeat(held, self.lens)
+        self.word_count = np.bincount(word[train], minlength=size)
+        self.word_count[begin] = (~held).sum()
+        self.home = ((self.hashes >> np.uint64(20)) % np.uint64(shards)).astype(np.int32)
+        self.hot = _known(self.hashes, hot)
+        self.ask, self.ask_bounds = self._dealt(self.home, shards)
+
+        def far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            """The shard of a window of the words a and b: that of a, unless a is hot."""
+            out = self.home[a]
+            on = np.flatnonzero(self.hot[a])
+            out[on] = (mix(self.hashes[a[on]] ^ mix(self.hashes[b[on]])) % np.uint64(shards)).astype(np.int32)
+            return out
+
+        key, pair = np.unique(last.astype(np.int64) * size + before, return_inverse=True)
+        self.pair_l, self.pair_b = (key // size).astype(np.int32), (key % size).astype(np.int32)
+        pair_shard = far(self.pair_l, self.pair_b)
+        del last, before
+        key, self.tri_of = np.unique(pair.astype(np.int64) * size + word, return_inverse=True)
+        del pair
+        self.tri_pair, self.tri_w = (key // size).astype(np.int32), (key % size).astype(np.int32)
+        self.count = np.bincount(self.tri_of[train], minlength=len(key)).astype(np.uint32)
+        l = self.pair_l[self.tri_pair]
+        key, self.two_of = np.unique(l.astype(np.int64) * size + self.tri_w, return_inverse=True)
+        self.two_l, self.two_w = (key // size).astype(np.int32), (key % size).astype(np.int32)
+        self.two_count = np.bincount(self.two_of, self.count, len(key)).astype(np.uint32)
+        two_shard = far(self.two_l, self.two_w)
+        self.tri, self.tri_bounds = self._dealt(pair_shard[self.tri_pair], shards)
+        self.pair, self.pair_bounds = self._dealt(pair_shard, shards)
+        cold = ~self.hot[self.two_l]
+        self.cold, self.cold_bounds = self._dealt(two_shard, shards, np.flatnonzero(cold))
+        self.warm, self.warm_bounds = self._dealt(two_shard, shards, np.flatnonzero(~cold))
+
+    @staticmethod
+    def _dealt(shard: np.ndarray, shards: int, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The rows in order of shards, and where each shard's begin."""
+        order = np.argsort(shard if rows is None else shard[rows], kind="stable")
+        order = order if rows is None else rows[order]
+        return order, np.searchsorted(shard[order], np.arange(shards + 1))
+
+    def of(self, name: str, shard: int) -> np.ndarray:
+        bounds = getattr(self, f"{name}_bounds")
+        return getattr(self, name)[bounds[shard] : bounds[shard + 1]]
+
+
+def _messages(order: int, shards: int, hot: np.ndarray):
+    kinds = [pa.int32(), *[pa.int64()] * 5, pa.binary()]
+    names = ["shard", "block", "n_used", "n_ask", "n_tri", "n_two", "body"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                b = Block(row, order, shards)
-                out: list[list] = [[] for _ in range(6)]
+                b = Block(row, order, shards, hot)
+                out: list[tuple] = []
                 for s in range(shards):
-                    win, ask = slice(b.bounds[s], b.bounds[s + 1]), b.asked[b.asked_bounds[s] : b.asked_bounds[s + 1]]
-                    parts = [ask, b.l[win], b.w[win]] + ([b.b[win]] if order == 3 else [])
-                    used = np.unique(np.concatenate(parts))
+                    ask, tri, two = b.of("ask", s), b.of("tri", s), b.of("warm", s)
+                    pair = b.tri_pair[tri]
+                    l, u, w = b.pair_l[pair], b.pair_b[pair], b.tri_w[tri]
+                    used = np.unique(np.concatenate([ask, l, u, w, b.two_l[two], b.two_w[two]]))
                     if not len(used):
                         continue
-                    at = lambda x: np.searchsorted(used, x).astype(np.uint32)  # noqa: B023, E731
-                    n = b.bounds[s + 1] - b.bounds[s]
-                    last = at(b.l[win])
-                    body = b.hashes[used].tobytes() + _squeeze(np.concatenate([at(ask), b.word_count[ask].astype(np.uint32), np.diff(last, prepend=np.uint32(0)).astype(np.uint32), at(b.w[win]), b.count[win].astype(np.uint32), *([at(b.b[win])] if order == 3 else [])]))
-                    for x, y in zip(out, (s, row["block"], len(used), len(ask), int(n), body)):
-                        x.append(y)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(x, pa.int64()) for x in out[1:5]), pa.array(out[5], pa.binary())], ["shard", "block", "n_used", "n_ask", "n_win", "body"])
+                    at = lambda x: np.searchsorted(used, x).astype("<u4")  # noqa: B023, E731
+                    parts = [at(ask), b.word_count[ask], np.diff(at(l), prepend=np.uint32(0)), at(u), at(w), b.count[tri], at(b.two_l[two]), at(b.two_w[two]), b.two_count[two]]
+                    body = b.hashes[used].tobytes() + _squeeze(np.concatenate([x.astype("<u4") for x in parts]))
+                    out.append((s, row["block"], len(used), len(ask), len(tri), len(two), body))
+                    if len(out) == 64:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names)
+                        out = []
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names)
 
     return run
 
 
-def _answers(order: int):
+#: Rows of answers that are none: a shard's training tokens and distinct words; a hot word's distinct successors there.
+_TOTALS, _KINDS = -1, -2
+
+
+def _answers(hot: np.ndarray):
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
         read = []
-        for row in table.select(["block", "n_used", "n_ask", "n_win", "body"]).to_pylist():
+        for row in table.select(["block", "n_used", "n_ask", "n_tri", "n_two", "body"]).to_pylist():
             used = np.frombuffer(row["body"], np.uint64, row["n_used"])
-            sizes = [row["n_ask"]] * 2 + [row["n_win"]] * (3 + (order == 3))
+            sizes = [row["n_ask"]] * 2 + [row["n_tri"]] * 4 + [row["n_two"]] * 3
             parts = np.split(_spread(row["body"][8 * row["n_used"] :], sum(sizes), "<u4"), np.cumsum(sizes)[:-1])
             parts[2] = np.cumsum(parts[2], dtype=np.uint32)
             read.append((row["block"], used, parts))
+        del table
         words = np.unique(np.concatenate([x[1] for x in read]))
-        ranks = [np.searchsorted(words, x[1]) for x in read]
-        known = np.zeros(len(words))
-        for r, (_, _, p) in zip(ranks, read):
+        is_hot = _known(words, hot)
+        known = np.zeros(len(words), np.int64)
+        tri, two = [], []
+        for _, used, p in read:
+            r = np.searchsorted(words, used).astype(np.int32)
             known[r[p[0]]] += p[1]  # a message asks for a word once
-        seen = [p[4] > 0 for _, _, p in read]
-        gather = lambda k: np.concatenate([r[p[k][s]] for r, (_, _, p), s in zip(ranks, read, seen)])
-        arrays = Trie.build(words, gather(2), gather(5) if order == 3 else None, gather(3), np.concatenate([p[4][s] for (_, _, p), s in zip(read, seen)]).astype(float))
+            some = np.flatnonzero(p[5])
+            tri.append((r[p[2][some]], r[p[3][some]], r[p[4][some]], p[5][some]))
+            some = np.flatnonzero(p[8])
+            two.append((r[p[6][some]], r[p[7][some]], p[8][some]))
+        arrays = Trie.build(words, is_hot, tuple(map(np.concatenate, zip(*tri))), tuple(map(np.concatenate, zip(*two))))
+        real = known[words != BEGIN]
+        rows: list[tuple] = [(_TOTALS, shard, int(real.sum()), int((real > 0).sum()), b"")]
+        rows += [(_KINDS, shard, int(words[w].view(np.int64)), int(n), b"") for w, n in zip(arrays["hot"], arrays["kinds"]) if n]
+        del tri, two
         path = os.path.join(tempfile.gettempdir(), f"trie-{uuid.uuid4().hex}")
         try:
             save(path, arrays)
-            del arrays
+            del arrays, words
             trie = Trie(load(path))
-            rows: list[tuple] = [(-1, shard, int(known.sum()), int((known > 0).sum()), b"")]
             for block, used, p in read:
                 rank = trie.ranks(used)
-                a, b = trie.ask(rank[p[2]], rank[p[5]] if order == 3 else None, rank[p[3]])
-                body = _squeeze(np.concatenate([known[rank[p[0]]].astype("<u8").view("<u2"), quantise(a), quantise(b)]))
-                rows.append((block, shard, len(p[0]), len(p[2]), body))
+                l, u, w = (rank[x] for x in p[2:5])
+                new = _starts(l, u)
+                after, rest = trie.after_pair(np.cumsum(new) - 1, l[new], u[new], w)
+                cold = ~is_hot[l]
+                key = np.unique(p[2][cold].astype(np.int64) << 32 | p[4][cold])  # the block has them in this order
+                cold_l, cold_w = rank[key >> 32], rank[key & 0xFFFFFFFF]
+                parts = [known[rank[p[0]]].view("<u2"), after, rest, trie.after_word(cold_l, cold_w), trie.a["words.r"][cold_l], trie.after_word(rank[p[6]], rank[p[7]])]
+                rows.append((block, shard, len(p[0]), sum(map(len, parts)), _squeeze(np.concatenate(parts).astype("<u2"))))
         finally:
             if os.path.exists(path):
                 os.remove(path)
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["block", "shard", "n_ask", "n_win", "body"])
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["block", "shard", "n_ask", "n_all", "body"])
 
     return run
 
@@ -175,28 +259,43 @@ def _answers(order: int):
 _OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _scores(order: int, shards: int, total: int, kinds: int):
+def _scores(order: int, shards: int, total: int, kinds: int, hot: np.ndarray, after_hot: np.ndarray):
+    """after_hot: distinct successors of each of the sorted hot words."""
+
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
-        b = Block(row, order, shards)
-        c = np.zeros(len(b.hashes))
-        a, rest = np.zeros(len(b.w)), np.ones(len(b.w))
+        b = Block(row, order, shards, hot)
+        c = np.zeros(len(b.hashes), np.int64)
+        three, rest3 = np.zeros(len(b.tri_w)), np.ones(len(b.pair_l))
+        two, rest2 = np.zeros(len(b.two_w)), np.ones(len(b.two_w))
         for x in right.to_pylist():
-            s, ask, win = x["shard"], x["n_ask"], x["n_win"]
-            body = _spread(x["body"], 4 * ask + 2 * win, "<u2")
-            c[b.asked[b.asked_bounds[s] : b.asked_bounds[s + 1]]] = body[: 4 * ask].view("<u8")
-            a[b.bounds[s] : b.bounds[s + 1]] = value(body[4 * ask : 4 * ask + win])
-            rest[b.bounds[s] : b.bounds[s + 1]] = value(body[4 * ask + win :])
-        docs = len(b.lens)
-        tokens = c[b.word]
-        base = np.log10((c + 1) / (total + (kinds + 1)))[b.word]
-        p = a[b.window] + rest[b.window] * ((c + 1) / (total + kinds + 1))[b.word]
-        columns = [pa.array(row["doc_id"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(b.lens), pa.array(np.bincount(b.doc, tokens > 0, docs).astype(np.int64)), pa.array(np.full(docs, total, np.int64)), pa.array(np.bincount(b.doc, base, docs)), pa.array(np.bincount(b.doc, np.log10(p), docs))]
+            s = x["shard"]
+            at = [b.of(name, s) for name in ("ask", "tri", "pair", "cold", "cold", "warm")]
+            sizes = [4 * len(at[0]), *map(len, at[1:])]
+            p = np.split(_spread(x["body"], x["n_all"], "<u2"), np.cumsum(sizes)[:-1])
+            c[at[0]] = np.ascontiguousarray(p[0]).view("<i8")
+            three[at[1]], rest3[at[2]], two[at[3]], rest2[at[4]], two[at[5]] = (value(k) for k in p[1:])
+        if len(b.warm):  # counts of hot words' successors
+            l = b.two_l[b.warm]
+            seen = after_hot[np.searchsorted(hot, b.hashes[l])].astype(float)
+            whole = np.maximum(c[l] + seen, 1)
+            two[b.warm], rest2[b.warm] = two[b.warm] / COUNT / whole, np.where(c[l] > 0, seen / whole, 1.0)
+        docs, of = len(b.lens), np.repeat(np.arange(len(b.lens)), b.lens)
+        unigram = (c + 1) / (total + (kinds + 1))
+        p2 = two + rest2 * unigram[b.two_w]
+        p3 = p2[b.two_of] if order == 2 else three + rest3[b.tri_pair] * p2[b.two_of]
+        sums = lambda each: np.bincount(of, each, docs)
+        columns = [pa.array(row["doc_id"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(b.lens), pa.array(sums((c > 0)[b.word]).astype(np.int64)), pa.array(np.full(docs, total, np.int64)), pa.array(sums(np.log10(unigram)[b.word])), pa.array(sums(np.log10(p3)[b.tri_of]))]
         return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
 
+def _asked(table: DataFrame, order: int, shards: int, hot: np.ndarray) -> DataFrame:
+    messages = table.select("block", "n_tokens", "held", "lens", "vocab", "tokens").mapInArrow(_messages(order, shards, hot), "shard int, block long, n_used long, n_ask long, n_tri long, n_two long, body binary")
+    return written(messages.groupBy("shard").applyInArrow(_answers(hot), "block long, shard int, n_ask long, n_all long, body binary"), "op1-answers", "none")
+
+
 def score(docs: DataFrame, held: str, order: int = ORDER, block_bytes: int = BLOCK, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Scores of all documents by a model of those for which the SQL expression ``held`` is false."""
     if order not in (2, 3):
@@ -204,11 +303,16 @@ def score(docs: DataFrame, held: str, order: int = ORDER, block_bytes: int = BLO
     table = written(to_blocks(docs, held, block_bytes), "op1-blocks", "none")
     n = table.agg(F.sum("n_tokens")).first()[0] or 0
     shards = max(8, -(-n // shard_tokens))
-    asked = table.mapInArrow(_messages(order, shards), "shard int, block long, n_used long, n_ask long, n_win long, body binary")
-    answers = written(asked.groupBy("shard").applyInArrow(_answers(order), "block long, shard int, n_ask long, n_win long, body binary"), "op1-answers", "none")
-    totals = answers.where("block = -1").agg(F.coalesce(F.sum("n_ask"), F.lit(0)), F.coalesce(F.sum("n_win"), F.lit(0))).first()
-    pairs = table.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block"))
-    return pairs.applyInArrow(_scores(order, shards, *totals), _OUT)
+    often = table.select(F.explode(F.arrays_zip("often", "times")).alias("x")).groupBy("x.often").agg(F.sum("x.times").alias("n"))
+    found = often.where(F.col("n") > shard_tokens // HOT).select("often").collect()  # at most HOT words for each shard
+    hot = np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
+    answers = _asked(table, order, shards, hot)
+    freed(docs.sparkSession)  # the messages
+    totals = answers.where(F.col("block") == _TOTALS).agg(F.coalesce(F.sum("n_ask"), F.lit(0)), F.coalesce(F.sum("n_all"), F.lit(0))).first()
+    after = {r[0]: r[1] for r in answers.where(F.col("block") == _KINDS).groupBy("n_ask").agg(F.sum("n_all")).collect()}  # a row for each hot word
+    after_hot = np.array([after.get(h, 0) for h in hot.view(np.int64).tolist()], np.int64)
+    pairs = table.drop("often", "times").groupBy("block").cogroup(answers.where("block >= 0").groupBy("block"))
+    return pairs.applyInArrow(_scores(order, shards, *totals, hot, after_hot), _OUT)
 
 
 def crc_text(x) -> int:
