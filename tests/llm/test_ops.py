@@ -310,10 +310,50 @@ def test_language(spark, docs, none):
 def test_forward_sums_all_segmentations():
     pieces = {"▁": 0, "a": 1, "b": 2, "ab": 3, "▁a": 4}
     theta = np.array([[0.3], [0.2], [0.2], [0.2], [0.1], [1e-9]])
-    got = op10_langid.Lattice(["ab"], op10_langid.prefixes_of(pieces), 5).likelihood(theta)[0, 0]
+    got = np.exp(op10_langid.Lattice(["ab"], op10_langid.prefixes_of(pieces), 5).likelihood(theta)[0, 0])
     assert abs(got - (0.3 * 0.2 * 0.2 + 0.3 * 0.2 + 0.1 * 0.2)) < 1e-12
 
 
+def _plain_log(run, pieces, theta):
+    """log of the sum over all segmentations, in exact fractions."""
+    from fractions import Fraction
+
+    x, alpha = "▁" + run, [Fraction(1)] + [Fraction(0)] * (len(run) + 1)
+    for end in range(1, len(x) + 1):
+        for start in range(max(0, end - 8), end):
+            p = pieces.get(x[start:end], len(pieces) if end - start == 1 else None)
+            if p is not None:
+                alpha[end] += alpha[start] * Fraction(float(theta[p]))
+    return math.log(alpha[-1].numerator) - math.log(alpha[-1].denominator)
+
+
+def test_runs_of_any_length():
+    rng = np.random.default_rng(8)
+    pieces = {p: i for i, p in enumerate(["▁", "a", "b", "c", "ab", "▁a", "abc", "ca", "bcab", "▁cab"])}
+    theta = rng.random((len(pieces) + 1, 2)) / 50
+    words = ["".join(rng.choice(list("abcx"), n)) for n in (1, 2, 23, 24, 25, 60, 60, 400)]
+    got = np.zeros((len(words), 2))
+    for some, lattice in op10_langid.lattices(words, op10_langid.prefixes_of(pieces), len(pieces), 2):
+        got[some] = lattice.likelihood(theta)
+    assert all(abs(got[i, c] - _plain_log(w, pieces, theta[:, c])) < 1e-7 * max(1, -got[i, c]) for i, w in enumerate(words) for c in (0, 1))
+    # Expected uses: every letter is in one piece.
+    lattice = op10_langid.Lattice(words, op10_langid.prefixes_of(pieces), len(pieces))
+    use = lattice.expected(theta[:, 0], np.ones(len(words)))
+    size = np.array([*map(len, pieces), 1])
+    assert abs((use * size).sum() - sum(len(w) + 1 for w in words)) < 1e-6
+
+
+def test_language_of_long_texts_and_ties(spark):
+    path = P.path("piece_bpe_32k.model")
+    long = {"ja": "これは長い文です" * 4000, "en": "the house and the green hill " * 4000}
+    docs = spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(long.items())] + [(9, "the house and the green hill", "en2")], "doc_id long, text string, lang string")
+    model = op10_langid.fit(docs, path)
+    assert model[0] == ["en", "en2", "ja"]
+    twice = (["b", "a"], np.repeat(model[1][:, :1], 2, axis=1), model[2])
+    asked = spark.createDataFrame([(1, "これは長い文です" * 9)], "doc_id long, text string")
+    assert op10_langid.predict(asked, model).first().lang_pred == "ja" and op10_langid.predict(asked, twice).first().lang_pred == "b"
+
+
 def test_pii_windows(spark):
     texts = {"card": ["2024 4111 1111 1111 1111", "6304 0000 0000 0000 000 1", "3782 822463 10005"], "phone": ["01 23 45 67 89", "+49 30 1234567"], "ip": ["1.10.0.0.7"]}
     want = {"card": ["4111 1111 1111 1111", "6304 0000 0000 0000 000", "3782 822463 10005"], "phone": ["01 23 45 67 89", "+49 30 1234567"], "ip": ["10.0.0.7"]}

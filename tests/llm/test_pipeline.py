@@ -52,17 +52,17 @@ def _language(rows, model):
                 p = pieces.get(x[start:end], len(pieces) if end - start == 1 else None)
                 if p is not None:
                     alpha[end] += alpha[start] * theta[p, c]
-        return np.log(max(alpha[-1], 1e-300))
+        return np.log(alpha[-1])
 
     known, out = {}, []
     for r in rows:
-        runs = Counter(s[k : k + 24] for w in re.split(r"[ \t-\r]+", r[1] or "") for s in re.findall(r"[^\W\d_]+", w.lower()) if s.isalpha() for k in range(0, len(s), 24))
+        runs = Counter(s for w in re.split(r"[ \t-\r]+", r[1] or "") for s in re.findall(r"[^\W\d_]+", w.lower()) if s.isalpha())
         for s in runs:
             known.setdefault(s, np.array([log_of(s, c) for c in range(len(langs))]))
         if runs:
             total = sum(n * known[s] for s, n in runs.items())
             if 1 / np.exp(total - total.max()).sum() >= 0.5:
-                out.append(r)
+                out.append((*r[:2], r[2] if r[2] is not None else langs[int(total.argmax())], *r[3:]))
     return out
 
 

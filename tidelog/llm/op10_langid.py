@@ -4,8 +4,9 @@ Each language has probabilities of the pieces of a fixed public vocabulary, fitt
 all ways to cut words into pieces. A text's likelihood is the product over its words of a forward sum over all
 segmentations. A worker keeps the likelihoods of words it has met.
 
-Words are lower-cased letter runs; runs of over 24 letters are scored in stretches of 24. The fit takes about 250
-texts of at most 20,000 characters for each language (parameters); everything is scored whole.
+Words are lower-cased letter runs, of any length: the forward pass goes over them letter by letter, and is rescaled on
+the way, so that long runs don't underflow. The fit takes about 250 whole texts for each language (a parameter);
+everything is scored whole.
 
 A null text, or one without a letter, gives ``und`` with score 0; so does every text if nothing could be learnt. Null
 languages are not learnt; repeated rows are scored each; ties go to the language first in order; further columns are
@@ -24,15 +25,16 @@ from pyspark.sql import functions as F
 
 from .common import Known, Words, blocks, documents, mix, remainder, sampled, schema_with, text_of
 
-TEXTS, CHARS = 250, 20_000
-LONGEST = 24
+TEXTS = 250
+#: Letters and numbers of a lattice at a time; only a longer single run exceeds them. Letters between two rescalings.
+LETTERS, CELLS, RESCALE = 200_000, 1_000_000, 16
 RUNS = regex.compile(r"\p{L}+").findall
 ROUNDS, PRIOR = 4, 200.0
 
 
 def runs_of(word: str) -> list[str]:
-    """A word's letter runs in lower case, in stretches of at most LONGEST letters."""
-    return [r[k : k + LONGEST] for r in RUNS(word.lower()) for k in range(0, len(r), LONGEST)]
+    """A word's letter runs in lower case."""
+    return RUNS(word.lower())
 
 
 def vocabulary(path: str) -> dict[str, int]:
@@ -50,6 +52,7 @@ class Prefixes:
         names = sorted({p[:k] for p in pieces for k in range(1, len(p) + 1)})
         node = {"": 0} | {x: i for i, x in enumerate(names, 1)}
         self.piece = np.array([-1, *(pieces.get(x, -1) for x in names)], np.int64)
+        self.longest = max(map(len, names), default=1)
         self.steps = Known()
         self.steps.add(mix(np.array([node[x[:-1]] << 21 | ord(x[-1]) for x in names], np.uint64)))
 
@@ -66,14 +69,14 @@ class Lattice:
     """All pieces in all of the words, as edges. A letter no piece has is piece ``len(vocabulary)``."""
 
     def __init__(self, words: list[str], prefixes: Prefixes, none: int):
-        letters = np.frombuffer("".join("▁" + x for x in words).encode("utf-32-le"), "<u4").astype(np.int64)
+        letters = np.frombuffer("".join("▁" + x for x in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
         lens = np.fromiter((len(x) + 1 for x in words), np.int64, len(words))
         word = np.repeat(np.arange(len(words)), lens)
         last = np.cumsum(lens)
         start = np.arange(len(letters)) - (last - lens)[word]
         # All starts go on letter by letter; those that no piece begins with drop out.
         at, node, parts = np.arange(len(letters)), np.zeros(len(letters), np.int64), []
-        for k in range(LONGEST + 1):
+        for k in range(prefixes.longest):
             inside = at + k < last[word[at]]
             at, node = at[inside], node[inside]
             if not len(at):
@@ -89,41 +92,61 @@ class Lattice:
         at, size, self.piece = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(3))
         self.word, self.start = word[at], start[at]
         self.end = self.start + size
-        self.lens = lens
-        self.by_end = np.argsort(self.end.astype(np.uint8), kind="stable")
-        self.cuts = np.searchsorted(self.end[self.by_end], np.arange(1, LONGEST + 3))
-
-    def forward(self, theta: np.ndarray) -> np.ndarray:
-        """alpha[word, place, language] for probabilities theta[piece, language]."""
-        n, k = len(self.lens), theta.shape[1]
-        alpha = np.zeros((n, LONGEST + 2, k))
+        self.lens, self.longest = lens, prefixes.longest
+
+    def forward(self, theta: np.ndarray, back: bool = False) -> np.ndarray:
+        """log alpha[word, place, language] for probabilities theta[piece, language]; from the words' ends, if ``back``."""
+        n, k, most = len(self.lens), theta.shape[1], int(self.lens.max(initial=0))
+        start, end = (self.lens[self.word] - self.end, self.lens[self.word] - self.start) if back else (self.start, self.end)
+        order = np.argsort(end, kind="stable")
+        cuts = np.searchsorted(end[order], np.arange(1, most + 2))
+        alpha, scale = np.zeros((n, most + 1, k)), np.zeros((n, most + 1, k))  # the factors' logarithms
         alpha[:, 0] = 1
-        for end in range(1, LONGEST + 2):
-            e = self.by_end[self.cuts[end - 1] : self.cuts[end]]
-            if len(e):
-                add = alpha[self.word[e], self.start[e]] * theta[self.piece[e]]
-                for c in range(k):
-                    alpha[:, end, c] = np.bincount(self.word[e], add[:, c], n)
-        return alpha
+        for to in range(1, most + 1):
+            e = order[cuts[to - 1] : cuts[to]]
+            add = alpha[self.word[e], start[e]] * theta[self.piece[e]]
+            for c in range(k):
+                alpha[:, to, c] = np.bincount(self.word[e], add[:, c], n)
+            scale[:, to] = scale[:, to - 1]
+            if to % RESCALE == 0:  # what the next places are made of keeps one scale
+                window = slice(max(0, to - self.longest), to + 1)
+                top = alpha[:, window].max(axis=1)
+                top[top <= 0] = 1
+                alpha[:, window] /= top[:, None]
+                scale[:, window] += np.log(top)[:, None]
+        with np.errstate(divide="ignore"):
+            return np.log(alpha) + scale
 
     def likelihood(self, theta: np.ndarray) -> np.ndarray:
+        """Log likelihoods [word, language]."""
         return self.forward(theta)[np.arange(len(self.lens)), self.lens]
 
     def expected(self, theta: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Expected uses of each piece by words with these counts; theta for one language."""
-        alpha = self.forward(theta[:, None])[:, :, 0]
-        n = len(self.lens)
-        beta = np.zeros((n, LONGEST + 2))
-        beta[np.arange(n), self.lens] = 1
-        by_start = np.argsort(-self.start, kind="stable")
-        cuts = np.searchsorted(-self.start[by_start], -np.arange(LONGEST + 1, -2, -1))
-        for a, b in zip(cuts, cuts[1:]):
-            e = by_start[a:b]
-            if len(e):
-                beta[:, self.start[e[0]]] += np.bincount(self.word[e], theta[self.piece[e]] * beta[self.word[e], self.end[e]], n)
-        whole = alpha[np.arange(n), self.lens]
-        use = alpha[self.word, self.start] * theta[self.piece] * beta[self.word, self.end] * (counts / whole)[self.word]
-        return np.bincount(self.piece, use, len(theta))
+        alpha, beta = (self.forward(theta[:, None], back)[:, :, 0] for back in (False, True))
+        whole = alpha[np.arange(len(self.lens)), self.lens]
+        with np.errstate(divide="ignore"):
+            use = alpha[self.word, self.start] + np.log(theta[self.piece]) + beta[self.word, self.lens[self.word] - self.end] - whole[self.word]
+        return np.bincount(self.piece, np.exp(use) * counts[self.word], len(theta))
+
+
+def lattices(words: list[str], prefixes: Prefixes, none: int, languages: int) -> Iterator[tuple[np.ndarray, Lattice]]:
+    """Lattices of words of like lengths, with the places of these words; each of bounded size, but for a single long run."""
+    lens = np.fromiter(map(len, words), np.int64, len(words))
+    order = np.argsort(lens, kind="stable")
+    at = 0
+    while at < len(order):
+        to = at + 1
+        # As many as fit: the longest is the last.
+        while to < len(order):
+            step = min(len(order), to + max(1, (to - at) // 2))
+            longest, n = int(lens[order[step - 1]]) + 2, step - at
+            if n * longest > LETTERS or n * longest * languages > CELLS:
+                break
+            to = step
+        some = order[at:to]
+        yield some, Lattice([words[i] for i in some.tolist()], prefixes, none)
+        at = to
 
 
 def learn(counts: dict[str, dict[str, int]], pieces: dict[str, int], rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
@@ -132,10 +155,10 @@ def learn(counts: dict[str, dict[str, int]], pieces: dict[str, int], rounds: int
     fitted = []
     for lang in langs:
         words = sorted(counts[lang])
-        lattice, n = Lattice(words, prefixes, size - 1), np.array([counts[lang][w] for w in words], float)
+        n = np.array([counts[lang][w] for w in words], float)
         theta = np.full(size, 1 / size)
         for _ in range(rounds):
-            use = lattice.expected(theta, n)
+            use = sum(lattice.expected(theta, n[some]) for some, lattice in lattices(words, prefixes, size - 1, 1))
             theta = (use + 1e-3) / (use.sum() + 1e-3 * size)
         fitted.append(use)
     pooled = sum(fitted) + 0.01
@@ -158,10 +181,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("lang", text_of().alias("text")).mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, vocabulary_path: str, texts: int = TEXTS, chars: int = CHARS) -> tuple[list[str], np.ndarray, dict[str, int]]:
-    """From (doc_id, text, lang): a bounded sample for each language (parameters ``texts`` and ``chars``)."""
+def fit(docs: DataFrame, vocabulary_path: str, texts: int = TEXTS) -> tuple[list[str], np.ndarray, dict[str, int]]:
+    """From (doc_id, text, lang): a bounded sample of whole texts for each language (parameter ``texts``)."""
     pieces = vocabulary(vocabulary_path)
-    some = sampled(docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()), "lang", texts).where(F.length("text") <= chars)
+    some = sampled(docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()), "lang", texts)
     counts: dict[str, dict[str, int]] = {}
     for r in word_counts(some).toLocalIterator():
         counts.setdefault(r.lang, {})[r.word] = r.n
@@ -178,10 +201,10 @@ class Scorer:
         """Log likelihoods and whether there is a letter, for words."""
         each = [runs_of(w) for w in texts]
         place = {r: i for i, r in enumerate(dict.fromkeys(r for x in each for r in x))}
-        runs, logs = list(place), []
-        for k in range(0, len(runs), 20_000):
-            logs.append(np.log(np.maximum(Lattice(runs[k : k + 20_000], self.prefixes, len(self.theta) - 1).likelihood(self.theta), 1e-300)))
-        logs = np.concatenate(logs) if logs else np.zeros((0, len(self.langs)))
+        runs = list(place)
+        logs = np.zeros((len(runs), len(self.langs)))
+        for some, lattice in lattices(runs, self.prefixes, len(self.theta) - 1, len(self.langs)):
+            logs[some] = lattice.likelihood(self.theta)
         owner = np.array([i for i, x in enumerate(each) for _ in x], np.int64)
         index = np.array([place[r] for x in each for r in x], np.int64)
         out = np.stack([np.bincount(owner, logs[index, c], len(each)) for c in range(len(self.langs))], axis=1)

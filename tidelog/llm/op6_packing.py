@@ -102,11 +102,11 @@ class Places:
 
 def ranked(pieces: DataFrame, counts: dict[int, int], order: list[str], length: str = "length", task_rows: int = 1_000_000) -> DataFrame:
     """Adds rank, gapless from 0 among rows of a length. A common length is dealt to several tasks by a hash of the order:
-    none numbers over ``task_rows`` rows, nor much over 1/256 of all."""
-    most = min(task_rows, max(500, sum(counts.values()) // 256))
+    none numbers over ``task_rows`` rows, nor much over 1/1024 of all."""
+    most = min(task_rows, max(100, sum(counts.values()) // 1024))
     salts = {k: -(-n // most) for k, n in counts.items() if n > most}
     salt = F.lit(0)
-    if salts:  # lengths over 1/256 of all rows, or over task_rows: a row for each at most
+    if salts:  # lengths over 1/1024 of all rows, or over task_rows: a row for each at most
         table = pieces.sparkSession.createDataFrame(list(salts.items()), "_length long, _salts long")
         pieces = pieces.join(F.broadcast(table), F.col(length) == F.col("_length"), "left")
         salt = F.pmod(F.xxhash64(*order), F.coalesce("_salts", F.lit(1)))
