@@ -14,12 +14,14 @@ from tidelog.llm.common import aside, documents, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: those without a letter, or that no language explains better than all others, go."""
+    """Documents with a language: those without a letter, or that no language explains better than all others, go; where
+    none is stated, the one found is."""
     import public_tokenizers
 
     own, back = aside(docs, ("doc_id", "text", "lang"))
     model = op10_langid.fit(own, public_tokenizers.path("piece_bpe_32k.model"))
-    return back(op10_langid.predict(own, model).where("lang_pred <> 'und' and score >= 0.5"))
+    some = op10_langid.predict(own, model).where("lang_pred <> 'und' and score >= 0.5")
+    return back(some.withColumn("lang", F.coalesce("lang", "lang_pred")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
