@@ -2,6 +2,8 @@
 
 import math
 import random
+import re
+import string
 import zlib
 from collections import Counter
 
@@ -171,12 +173,59 @@ def test_decontamination(spark, docs, none):
     long = " ".join(f"w{k}" for k in range(300))
     items = spark.createDataFrame([(1, item), (2, long + ". the answer is here now"), (3, None), (4, ""), (5, item)], "item_id long, text string")
     texts = spark.createDataFrame([(1, "pre text " * 90 + item.upper() + " more words" * 50), (2, item.split(".")[0]), (3, "x " + long + ". the answer is here now"), (4, None), (5, "other words " * 100), (1, item)], "doc_id long, text string")
-    got = Counter((r.doc_id, r.item_id) for r in op5_decontam.leaks(texts, items, part_items=2).collect())
+    got = Counter((r.doc_id, r.item_id) for r in op5_decontam.leaks(texts, items, part_bytes=1).collect())
     assert got == Counter({(1, 1): 2, (1, 5): 2, (3, 2): 1})
     assert sorted(r.doc_id for r in op5_decontam.without_leaks(texts, items).collect()) == [2, 4, 5]
     assert op5_decontam.leaks(docs, items.limit(0)).count() == 0 and op5_decontam.leaks(none, items).count() == 0
 
 
+def _bm25(items, texts):
+    """(doc, item): best score over passages, of all that reach the item's threshold, by the plain formula."""
+    words = lambda t: re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)))
+    own = {i: Counter(words(t)) for i, t in items}
+    lens = {i: sum(c.values()) for i, c in own.items()}
+    n, mean, df = len(items), sum(lens.values()) / len(items), Counter(w for c in own.values() for w in c)
+    impact = {i: {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * k * 2.2 / (k + 1.2 * (0.25 + 0.75 * lens[i] / mean)) for w, k in c.items()} for i, c in own.items()}
+    out = {}
+    for d, t in texts:
+        w = words(t)
+        for at in range(0, max(len(w) - 32, 1), 32):
+            passage = set(w[at : at + 64])
+            for i in own:
+                surely = lens[i] if lens[i] <= 32 else min(16 + lens[i] / 2, 64)
+                score = sum(x for k, x in impact[i].items() if k in passage)
+                if lens[i] and score >= 0.6 * sum(impact[i].values()) * surely / lens[i]:
+                    out[d, i] = max(out.get((d, i), 0), score)
+    return out
+
+
+def test_retrieval_equals_plain_bm25(spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{int(rng.paretovariate(0.7))}" for _ in range(400)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(1, 90)))) for i in range(150)]
+    texts = [(d, " ".join(rng.choices(vocabulary, k=rng.randint(0, 300))) + " " + (items[d % 150][1].upper() if d % 3 == 0 else "")) for d in range(60)]
+    want = _bm25(items, texts)
+    df = spark.createDataFrame(items, "item_id long, text string")
+    for part_bytes in (op5_decontam.PART_BYTES, 40_000):
+        got = {}
+        for index in op5_decontam.parts(df, part_bytes):
+            words = op5_decontam.Words(pa.array([t for _, t in texts]), op5_decontam.PLAIN)
+            for r, i, s in zip(*index.retrieve(index.term_of(words.hashes()), words.first)):
+                got[int(r), int(index.ids[i])] = s
+        assert got.keys() == want.keys() and len(want) > 20
+        assert all(abs(got[k] - want[k]) < 1e-3 for k in want)
+
+
+def test_leaks_whatever_the_parts(spark):
+    rng = random.Random(12)
+    items = [(i, " ".join(f"v{rng.randint(0, 300)}" for _ in range(rng.randint(8, 80))) + f". answer number {i} is here") for i in range(60)]
+    texts = [(d, f"pre {d} " + items[d % 60][1] + " post" * (d % 50)) for d in range(40)] + [(99, "v1 v2 v3")]
+    df = spark.createDataFrame([(i, t, 1, 0.5) for i, t in items], "item_id long, text string, row int, df double")
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = [sorted((r.doc_id, r.item_id, round(r.score, 6)) for r in op5_decontam.leaks(docs, df, part_bytes=k).collect()) for k in (op5_decontam.PART_BYTES, 20_000)]
+    assert rows[0] == rows[1] and [x[:2] for x in rows[0]] == [(d, d) for d in range(40)]
+
+
 @pytest.mark.parametrize("name,spaced", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_encoder_equals_library(name, spaced):
     texts = [t or "" for t in TEXTS if t is None or len(t) < 5000] + ["".join(random.choices(" \n\tab'é1.<|　", k=random.randint(0, 30))) for _ in range(500)]
