@@ -29,7 +29,7 @@ from .common import blocks, documents, gone_at_exit, shared_dir, text_of, writte
 from .tokens import STEP_BYTES, encoder
 
 MAGIC = b"TLBP"
-BLOCK_IDS, FILE_IDS = 4096, 8 << 20
+BLOCK_IDS, FILE_IDS = 4096, 2 << 20
 _HEAD = struct.Struct("<4sIIQQ")
 _NO_KEY = -(1 << 63)
 
