@@ -53,7 +53,16 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     gone_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def dropped(table: DataFrame) -> None:
+    """Deletes the files of a ``written`` table that nothing reads any more."""
+    spark = table.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.written_to)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def freed(spark: SparkSession) -> None:

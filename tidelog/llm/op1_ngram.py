@@ -1,15 +1,16 @@
 """Language-model scores from an Elias-Fano n-gram trie, sharded by the last context word.
 
-Texts become blocks of token places and word hashes once, in a table in the shared folder. Each block then sends
-every shard one message: its distinct windows and words there, with their training counts. A shard sums the counts
-of all messages, builds its trie, maps it from a file and answers the messages. So one exchange both counts and
-looks up, repeats within a block travel once, and no part of the model is ever on the driver or broadcast. Shards
-grow in number with the tokens; blocks can be enlarged with ``block_bytes`` on larger inputs.
+Texts become blocks of token places and word hashes. The words of all blocks meet once, in shards of words: these count
+them and give each a number, small for common ones, and the blocks are written again with numbers in place of hashes.
+Each block then sends every shard of windows one message: its distinct windows there, with their training counts. A shard
+sums the counts of all messages, builds its trie, maps it from a file and answers the messages. So one exchange both
+counts and looks up, repeats within a block travel once, and no part of the model is ever on the driver or broadcast.
+Shards grow in number with the tokens; blocks can be enlarged with ``block_bytes`` on larger inputs.
 
 A window of three words belongs to the shard of its middle word. Middle words with over a quarter of a shard's tokens
 are hot: their windows are dealt to all shards by the word before as well, and the two-word windows by the word after.
-Pairs of words stay whole so; how often and before how many words a hot word stands is summed over the shards, one
-row for each hot word and shard.
+Pairs of words stay whole so; before how many words a hot word stands is summed over the shards, one row for each hot
+word and shard.
 
 The model interpolates by Witten and Bell: p(w | h) = (c(hw) + T(h) p(w | shorter h)) / (c(h) + T(h)), T the number
 of distinct successors, down to p(w) = (c + 1) / (N + V + 1), where all unknown words share one place. Stored
@@ -33,14 +34,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, Words, blocks, distinct, documents, freed, mix, remainder, text_of, written
+from .common import LOWER, Words, blocks, distinct, documents, dropped, freed, mix, remainder, text_of, written
 from .eliasfano import COUNT, Trie, load, quantise, save, value
 
 ORDER = 3
 BLOCK, STEP = 8 << 20, 2 << 20
-SHARD_TOKENS, HOT = 2_000_000, 4
-#: Words that stand so often in a block are counted before the messages, to find the hot ones.
-OFTEN = 64
+#: Words of blocks to a shard of words, tokens to a shard of windows; more than 1 / HOT of these make a word hot.
+SHARD_WORDS, SHARD_TOKENS, HOT = 4_000_000, 2_000_000, 4
 BEGIN, END = np.uint64(1), np.uint64(2)
 
 
@@ -58,12 +58,15 @@ def _spread(data: bytes, n: int, kind: str) -> np.ndarray:
 
 
 _LONGS = pa.list_(pa.int64())
-_BLOCKS = pa.schema([("block", pa.int64()), ("n_tokens", pa.int64()), ("doc_id", _LONGS), ("held", pa.list_(pa.bool_())), ("lens", pa.list_(pa.int32())), ("often", _LONGS), ("times", _LONGS), ("vocab", pa.binary()), ("tokens", pa.binary())])
+_ROWS = [("block", pa.int64()), ("n_tokens", pa.int64()), ("n_words", pa.int64()), ("doc_id", _LONGS), ("held", pa.list_(pa.bool_())), ("lens", pa.list_(pa.int32()))]
+_HASHED = pa.schema([*_ROWS, ("hashes", pa.binary()), ("tokens", pa.binary())])
+_NUMBERED = pa.schema([*_ROWS, ("words", pa.binary()), ("tokens", pa.binary())])
+_DDL = "block long, n_tokens long, n_words long, doc_id array<long>, held array<boolean>, lens array<int>, "
 
 
 def to_blocks(docs: DataFrame, held: str, block_bytes: int = BLOCK) -> DataFrame:
-    """(block, n_tokens, doc_id[], held[], lens[], often[], times[], vocab, tokens) of (doc_id, text, held): token places
-    and the hashes of their words, and the words that are there OFTEN."""
+    """(block, n_tokens, n_words, doc_id[], held[], lens[], hashes, tokens) of (doc_id, text, held): all tokens, with an end to
+    each document, as places among the hashes of the block's words and of END and BEGIN."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 0
@@ -75,17 +78,111 @@ def to_blocks(docs: DataFrame, held: str, block_bytes: int = BLOCK) -> DataFrame
                     hashes.append(words.hashes())
                     lens.append(np.diff(words.first))
                 vocab, _, index = distinct(np.concatenate(hashes))
-                count = np.bincount(index, minlength=len(vocab))
-                often = np.flatnonzero(count >= OFTEN)
-                kept = [vocab[often].view(np.int64).tolist(), count[often].tolist()]
-                if some.num_rows >= OFTEN:
-                    kept = [[*kept[0], int(BEGIN)], [*kept[1], some.num_rows]]
-                row = [[TaskContext.get().partitionId() << 32 | n], [len(index)], [some.column("doc_id").to_pylist()], [some.column("held").to_pylist()], [np.concatenate(lens).tolist()], *([x] for x in kept), [vocab.tobytes()], [_squeeze(index.astype("<u4"))]]
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, _BLOCKS)], _BLOCKS)
+                lens = np.concatenate(lens) + 1
+                tokens = np.full(int(lens.sum()), len(vocab), "<u4")
+                inner = np.ones(len(tokens), bool)
+                inner[np.cumsum(lens) - 1] = False
+                tokens[inner] = index
+                vocab = np.concatenate([vocab, np.array([END, BEGIN], np.uint64)])
+                row = [[TaskContext.get().partitionId() << 32 | n], [len(tokens)], [len(vocab)], [some.column("doc_id").to_pylist()], [some.column("held").to_pylist()], [lens.tolist()], [vocab.tobytes()], [_squeeze(tokens)]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, _HASHED)], _HASHED)
                 n += 1
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.expr(held).alias("held"))
-    return rows.mapInArrow(run, "block long, n_tokens long, doc_id array<long>, held array<boolean>, lens array<int>, often array<long>, times array<long>, vocab binary, tokens binary")
+    return rows.mapInArrow(run, _DDL + "hashes binary, tokens binary")
+
+
+def _of_words(row: dict, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A hashed block's hashes, and its words in the order of their shards, with where each shard's begin."""
+    hashes = np.frombuffer(row["hashes"], np.uint64)
+    shard = (hashes >> np.uint64(20)) % np.uint64(shards)
+    order = np.argsort(shard, kind="stable")
+    return hashes, order, np.searchsorted(shard[order], np.arange(shards + 1))
+
+
+def _train(row: dict) -> np.ndarray:
+    return ~np.repeat(np.array(row["held"], bool), np.array(row["lens"], np.int64))
+
+
+def _word_messages(shards: int):
+    kinds, names = [pa.int32(), pa.int64(), pa.int64(), pa.binary()], ["shard", "block", "n", "body"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                hashes, order, bounds = _of_words(row, shards)
+                count = np.bincount(_spread(row["tokens"], row["n_tokens"], "<u4")[_train(row)], minlength=len(hashes))
+                count[-1] = len(row["held"]) - sum(row["held"])  # BEGIN
+                out = []
+                for s in range(shards):
+                    own = order[bounds[s] : bounds[s + 1]]
+                    if len(own):
+                        out.append((s, row["block"], len(own), hashes[own].tobytes() + _squeeze(count[own].astype("<u8"))))
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names)
+
+    return run
+
+
+#: Rows of answers that are none: all training tokens and distinct words of a shard; a hot word and its distinct successors.
+_TOTALS, _HOT = -1, -2
+
+
+def _word_answers(shards: int, hot_tokens: int):
+    def run(table: pa.Table) -> pa.Table:
+        shard = table.column("shard")[0].as_py()
+        rows = table.select(["block", "n", "body"]).to_pylist()
+        hashes = [np.frombuffer(r["body"], np.uint64, r["n"]) for r in rows]
+        words, which = np.unique(np.concatenate(hashes), return_inverse=True)
+        count = np.zeros(len(words), np.int64)
+        np.add.at(count, which, np.concatenate([_spread(r["body"][8 * r["n"] :], r["n"], "<u8") for r in rows]).astype(np.int64))
+        number = np.empty(len(words), np.int64)
+        number[np.argsort(-count, kind="stable")] = np.arange(len(words)) * shards + shard  # common words have small numbers
+        real = count[words != BEGIN]
+        begin = number[words == BEGIN].tolist()
+        out: list[tuple] = [(_TOTALS, shard, int(real.sum()), int((real > 0).sum()), b"")]
+        out += [(_HOT, shard, int(number[w]), int(count[w]), b"") for w in np.flatnonzero(count > hot_tokens)]
+        for r, own in zip(rows, np.split(which, np.cumsum([len(x) for x in hashes])[:-1])):
+            out.append((r["block"], shard, r["n"], begin[0] if begin else -1, _squeeze(np.concatenate([number[own], count[own]]).astype("<u8"))))
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["block", "shard", "n", "m", "body"])
+
+    return run
+
+
+def _numbered(shards: int):
+    """Blocks with their words in the order of numbers: numbers (differences) and counts, and tokens as places among these."""
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        _, order, bounds = _of_words(row, shards)
+        both = np.empty((2, row["n_words"]), np.int64)
+        for x in right.to_pylist():
+            s = x["shard"]
+            both[:, order[bounds[s] : bounds[s + 1]]] = _spread(x["body"], 2 * x["n"], "<u8").reshape(2, -1).astype(np.int64)
+        by = np.argsort(both[0])
+        place = np.empty(len(by), np.uint32)
+        place[by] = np.arange(len(by))
+        body = np.concatenate([np.diff(both[0, by], prepend=0), both[1, by], [place[-1]]]).astype("<u8")
+        tokens = place[_spread(row["tokens"], row["n_tokens"], "<u4")]
+        values = [*([row[n]] for n, _ in _ROWS), [_squeeze(body)], [_squeeze(tokens.astype("<u4"))]]
+        return pa.table([pa.array(x, f.type) for x, f in zip(values, _NUMBERED)], schema=_NUMBERED)
+
+    return run
+
+
+def numbered(docs: DataFrame, held: str, block_bytes: int, shard_words: int, shard_tokens: int) -> tuple[DataFrame, int, int, int, np.ndarray]:
+    """The written blocks with numbers, all tokens, training tokens and distinct words, and the hot words' numbers."""
+    table = written(to_blocks(docs, held, block_bytes), "op1-hashed", "none")
+    n, words = table.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
+    shards = max(8, -(-words // shard_words))
+    messages = table.mapInArrow(_word_messages(shards), "shard int, block long, n long, body binary")
+    answers = written(messages.groupBy("shard").applyInArrow(_word_answers(shards, shard_tokens // HOT), "block long, shard int, n long, m long, body binary"), "op1-numbers", "none")
+    total, kinds = answers.where(F.col("block") == _TOTALS).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
+    hot = sorted(r[0] for r in answers.where(F.col("block") == _HOT).select("n").collect())  # at most HOT for each shard of windows
+    pairs = table.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block"))
+    out = written(pairs.applyInArrow(_numbered(shards), _DDL + "words binary, tokens binary"), "op1-blocks", "none")
+    for x in (table, answers):
+        dropped(x)
+    return out, n, total, kinds, np.array(hot, np.int64)
 
 
 def _known(hashes: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
@@ -105,41 +202,32 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """A block's words, and its distinct windows of three and two words in the order of their shards: the asking and the
-    reading side derive the same."""
+    """A block's words by their numbers, and its distinct windows of three and two words in the order of their shards: the
+    asking and the reading side derive the same."""
 
     def __init__(self, row: dict, order: int, shards: int, hot: np.ndarray):
-        vocab = np.frombuffer(row["vocab"], np.uint64)
-        self.lens = np.array(row["lens"], np.int64) + 1  # with the end
-        self.hashes = np.concatenate([vocab, [END, BEGIN]]).astype(np.uint64)
-        size, end, begin = len(self.hashes), len(vocab), len(vocab) + 1
-        stop = np.cumsum(self.lens) - 1
-        start = stop - self.lens + 1
-        total = int(self.lens.sum())
-        word = np.full(total, end, np.int32)
-        inner = np.ones(total, bool)
-        inner[stop] = False
-        word[inner] = _spread(row["tokens"], row["n_tokens"], "<u4")
-        last = np.concatenate([[begin], word[:-1]]).astype(np.int32)[:total]
+        size = row["n_words"]
+        body = _spread(row["words"], 2 * size + 1, "<u8").astype(np.int64)
+        self.numbers, self.known, begin = np.cumsum(body[:size]), body[size : 2 * size], int(body[-1])
+        self.lens = np.array(row["lens"], np.int64)
+        word = _spread(row["tokens"], row["n_tokens"], "<u4").astype(np.int32)
+        start = np.cumsum(self.lens) - self.lens
+        last = np.concatenate([[begin], word[:-1]]).astype(np.int32)[: len(word)]
         last[start] = begin
-        before = np.concatenate([[begin], last[:-1]]).astype(np.int32)[:total]
+        before = np.concatenate([[begin], last[:-1]]).astype(np.int32)[: len(word)]
         before[start] = begin
         if order == 2:
             before[:] = begin
         self.word = word
-        held = np.array(row["held"], bool)
-        train = ~np.repeat(held, self.lens)
-        self.word_count = np.bincount(word[train], minlength=size)
-        self.word_count[begin] = (~held).sum()
-        self.home = ((self.hashes >> np.uint64(20)) % np.uint64(shards)).astype(np.int32)
-        self.hot = _known(self.hashes, hot)
-        self.ask, self.ask_bounds = self._dealt(self.home, shards)
+        mixed = mix(self.numbers.astype(np.uint64))
+        home = (mixed % np.uint64(shards)).astype(np.int32)
+        self.hot = _known(self.numbers, hot)
 
         def far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
             """The shard of a window of the words a and b: that of a, unless a is hot."""
-            out = self.home[a]
+            out = home[a]
             on = np.flatnonzero(self.hot[a])
-            out[on] = (mix(self.hashes[a[on]] ^ mix(self.hashes[b[on]])) % np.uint64(shards)).astype(np.int32)
+            out[on] = (mix(mixed[a[on]] * np.uint64(3) ^ mixed[b[on]]) % np.uint64(shards)).astype(np.int32)
             return out
 
         key, pair = np.unique(last.astype(np.int64) * size + before, return_inverse=True)
@@ -149,9 +237,8 @@ class Block:
         key, self.tri_of = np.unique(pair.astype(np.int64) * size + word, return_inverse=True)
         del pair
         self.tri_pair, self.tri_w = (key // size).astype(np.int32), (key % size).astype(np.int32)
-        self.count = np.bincount(self.tri_of[train], minlength=len(key)).astype(np.uint32)
-        l = self.pair_l[self.tri_pair]
-        key, self.two_of = np.unique(l.astype(np.int64) * size + self.tri_w, return_inverse=True)
+        self.count = np.bincount(self.tri_of[_train(row)], minlength=len(key)).astype(np.uint32)
+        key, self.two_of = np.unique(self.pair_l[self.tri_pair].astype(np.int64) * size + self.tri_w, return_inverse=True)
         self.two_l, self.two_w = (key // size).astype(np.int32), (key % size).astype(np.int32)
         self.two_count = np.bincount(self.two_of, self.count, len(key)).astype(np.uint32)
         two_shard = far(self.two_l, self.two_w)
@@ -174,8 +261,8 @@ class Block:
 
 
 def _messages(order: int, shards: int, hot: np.ndarray):
-    kinds = [pa.int32(), *[pa.int64()] * 5, pa.binary()]
-    names = ["shard", "block", "n_used", "n_ask", "n_tri", "n_two", "body"]
+    kinds = [pa.int32(), *[pa.int64()] * 3, pa.binary()]
+    names = ["shard", "block", "n_tri", "n_two", "body"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,16 +270,13 @@ def _messages(order: int, shards: int, hot: np.ndarray):
                 b = Block(row, order, shards, hot)
                 out: list[tuple] = []
                 for s in range(shards):
-                    ask, tri, two = b.of("ask", s), b.of("tri", s), b.of("warm", s)
-                    pair = b.tri_pair[tri]
-                    l, u, w = b.pair_l[pair], b.pair_b[pair], b.tri_w[tri]
-                    used = np.unique(np.concatenate([ask, l, u, w, b.two_l[two], b.two_w[two]]))
-                    if not len(used):
+                    tri, two = b.of("tri", s), b.of("warm", s)
+                    if not len(tri) and not len(two):
                         continue
-                    at = lambda x: np.searchsorted(used, x).astype("<u4")  # noqa: B023, E731
-                    parts = [at(ask), b.word_count[ask], np.diff(at(l), prepend=np.uint32(0)), at(u), at(w), b.count[tri], at(b.two_l[two]), at(b.two_w[two]), b.two_count[two]]
-                    body = b.hashes[used].tobytes() + _squeeze(np.concatenate([x.astype("<u4") for x in parts]))
-                    out.append((s, row["block"], len(used), len(ask), len(tri), len(two), body))
+                    pair = b.tri_pair[tri]
+                    rise = lambda x: np.diff(b.numbers[x], prepend=0)  # noqa: B023, E731
+                    parts = [rise(b.pair_l[pair]), b.numbers[b.pair_b[pair]], b.numbers[b.tri_w[tri]], b.count[tri], rise(b.two_l[two]), b.numbers[b.two_w[two]], b.two_count[two]]
+                    out.append((s, row["block"], len(tri), len(two), _squeeze(np.concatenate([x.astype("<u8") for x in parts]))))
                     if len(out) == 64:
                         yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names)
                         out = []
@@ -202,56 +286,54 @@ def _messages(order: int, shards: int, hot: np.ndarray):
     return run
 
 
-#: Rows of answers that are none: a shard's training tokens and distinct words; a hot word's distinct successors there.
-_TOTALS, _KINDS = -1, -2
-
-
 def _answers(hot: np.ndarray):
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        read = []
-        for row in table.select(["block", "n_used", "n_ask", "n_tri", "n_two", "body"]).to_pylist():
-            used = np.frombuffer(row["body"], np.uint64, row["n_used"])
-            sizes = [row["n_ask"]] * 2 + [row["n_tri"]] * 4 + [row["n_two"]] * 3
-            parts = np.split(_spread(row["body"][8 * row["n_used"] :], sum(sizes), "<u4"), np.cumsum(sizes)[:-1])
-            parts[2] = np.cumsum(parts[2], dtype=np.uint32)
-            read.append((row["block"], used, parts))
+        messages = table.select(["block", "n_tri", "n_two", "body"]).to_pylist()
         del table
-        words = np.unique(np.concatenate([x[1] for x in read]))
+
+        def parts(m: dict) -> list[np.ndarray]:
+            sizes = [m["n_tri"]] * 4 + [m["n_two"]] * 3
+            p = np.split(_spread(m["body"], sum(sizes), "<u8").astype(np.int64), np.cumsum(sizes)[:-1])
+            p[0], p[4] = np.cumsum(p[0]), np.cumsum(p[4])
+            return p
+
+        # A message is unpacked three times: packed, all of them are small.
+        words = np.zeros(0, np.int64)
+        for k in range(0, len(messages), 16):
+            words = np.unique(np.concatenate([words, *(x for m in messages[k : k + 16] for i, x in enumerate(parts(m)) if i not in (3, 6))]))
         is_hot = _known(words, hot)
-        known = np.zeros(len(words), np.int64)
         tri, two = [], []
-        for _, used, p in read:
-            r = np.searchsorted(words, used).astype(np.int32)
-            known[r[p[0]]] += p[1]  # a message asks for a word once
-            some = np.flatnonzero(p[5])
-            tri.append((r[p[2][some]], r[p[3][some]], r[p[4][some]], p[5][some]))
-            some = np.flatnonzero(p[8])
-            two.append((r[p[6][some]], r[p[7][some]], p[8][some]))
-        arrays = Trie.build(words, is_hot, tuple(map(np.concatenate, zip(*tri))), tuple(map(np.concatenate, zip(*two))))
-        real = known[words != BEGIN]
-        rows: list[tuple] = [(_TOTALS, shard, int(real.sum()), int((real > 0).sum()), b"")]
-        rows += [(_KINDS, shard, int(words[w].view(np.int64)), int(n), b"") for w, n in zip(arrays["hot"], arrays["kinds"]) if n]
+        rank = lambda x: np.searchsorted(words, x).astype(np.int32)
+        for m in messages:
+            p = parts(m)
+            some = np.flatnonzero(p[3])
+            tri.append((*(rank(p[k][some]) for k in range(3)), p[3][some].astype(np.uint32)))
+            some = np.flatnonzero(p[6])
+            two.append((rank(p[4][some]), rank(p[5][some]), p[6][some].astype(np.uint32)))
+        tri, two = (tuple(map(np.concatenate, zip(*x))) for x in (tri, two))
+        arrays = Trie.build(words, is_hot, tri, two)
         del tri, two
+        rows: list[tuple] = [(_HOT, shard, int(words[w]), int(n), b"") for w, n in zip(arrays["hot"], arrays["kinds"]) if n]
         path = os.path.join(tempfile.gettempdir(), f"trie-{uuid.uuid4().hex}")
         try:
             save(path, arrays)
             del arrays, words
             trie = Trie(load(path))
-            for block, used, p in read:
-                rank = trie.ranks(used)
-                l, u, w = (rank[x] for x in p[2:5])
+            for m in messages:
+                p = parts(m)
+                l, u, w = (trie.ranks(x) for x in p[:3])
                 new = _starts(l, u)
                 after, rest = trie.after_pair(np.cumsum(new) - 1, l[new], u[new], w)
                 cold = ~is_hot[l]
-                key = np.unique(p[2][cold].astype(np.int64) << 32 | p[4][cold])  # the block has them in this order
-                cold_l, cold_w = rank[key >> 32], rank[key & 0xFFFFFFFF]
-                parts = [known[rank[p[0]]].view("<u2"), after, rest, trie.after_word(cold_l, cold_w), trie.a["words.r"][cold_l], trie.after_word(rank[p[6]], rank[p[7]])]
-                rows.append((block, shard, len(p[0]), sum(map(len, parts)), _squeeze(np.concatenate(parts).astype("<u2"))))
+                key = np.unique(l[cold] * trie.n + w[cold])  # the block has them in this order
+                cold_l, cold_w = key // trie.n, key % trie.n
+                each = [after, rest, trie.after_word(cold_l, cold_w), trie.a["words.r"][cold_l], trie.after_word(trie.ranks(p[4]), trie.ranks(p[5]))]
+                rows.append((m["block"], shard, sum(map(len, each)), 0, _squeeze(np.concatenate(each).astype("<u2"))))
         finally:
             if os.path.exists(path):
                 os.remove(path)
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["block", "shard", "n_ask", "n_all", "body"])
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 5, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["block", "shard", "n", "m", "body"])
 
     return run
 
@@ -265,19 +347,16 @@ def _scores(order: int, shards: int, total: int, kinds: int, hot: np.ndarray, af
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
         b = Block(row, order, shards, hot)
-        c = np.zeros(len(b.hashes), np.int64)
+        c = b.known
         three, rest3 = np.zeros(len(b.tri_w)), np.ones(len(b.pair_l))
         two, rest2 = np.zeros(len(b.two_w)), np.ones(len(b.two_w))
         for x in right.to_pylist():
-            s = x["shard"]
-            at = [b.of(name, s) for name in ("ask", "tri", "pair", "cold", "cold", "warm")]
-            sizes = [4 * len(at[0]), *map(len, at[1:])]
-            p = np.split(_spread(x["body"], x["n_all"], "<u2"), np.cumsum(sizes)[:-1])
-            c[at[0]] = np.ascontiguousarray(p[0]).view("<i8")
-            three[at[1]], rest3[at[2]], two[at[3]], rest2[at[4]], two[at[5]] = (value(k) for k in p[1:])
+            at = [b.of(name, x["shard"]) for name in ("tri", "pair", "cold", "cold", "warm")]
+            p = np.split(_spread(x["body"], x["n"], "<u2"), np.cumsum([len(k) for k in at])[:-1])
+            three[at[0]], rest3[at[1]], two[at[2]], rest2[at[3]], two[at[4]] = (value(k) for k in p)
         if len(b.warm):  # counts of hot words' successors
             l = b.two_l[b.warm]
-            seen = after_hot[np.searchsorted(hot, b.hashes[l])].astype(float)
+            seen = after_hot[np.searchsorted(hot, b.numbers[l])].astype(float)
             whole = np.maximum(c[l] + seen, 1)
             two[b.warm], rest2[b.warm] = two[b.warm] / COUNT / whole, np.where(c[l] > 0, seen / whole, 1.0)
         docs, of = len(b.lens), np.repeat(np.arange(len(b.lens)), b.lens)
@@ -292,27 +371,23 @@ def _scores(order: int, shards: int, total: int, kinds: int, hot: np.ndarray, af
 
 
 def _asked(table: DataFrame, order: int, shards: int, hot: np.ndarray) -> DataFrame:
-    messages = table.select("block", "n_tokens", "held", "lens", "vocab", "tokens").mapInArrow(_messages(order, shards, hot), "shard int, block long, n_used long, n_ask long, n_tri long, n_two long, body binary")
-    return written(messages.groupBy("shard").applyInArrow(_answers(hot), "block long, shard int, n_ask long, n_all long, body binary"), "op1-answers", "none")
+    messages = table.mapInArrow(_messages(order, shards, hot), "shard int, block long, n_tri long, n_two long, body binary")
+    return written(messages.groupBy("shard").applyInArrow(_answers(hot), "block long, shard int, n long, m long, body binary"), "op1-answers", "none")
 
 
-def score(docs: DataFrame, held: str, order: int = ORDER, block_bytes: int = BLOCK, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def score(docs: DataFrame, held: str, order: int = ORDER, block_bytes: int = BLOCK, shard_tokens: int = SHARD_TOKENS, shard_words: int = SHARD_WORDS) -> DataFrame:
     """Scores of all documents by a model of those for which the SQL expression ``held`` is false."""
     if order not in (2, 3):
         raise ValueError("order must be 2 or 3")
-    table = written(to_blocks(docs, held, block_bytes), "op1-blocks", "none")
-    n = table.agg(F.sum("n_tokens")).first()[0] or 0
+    table, n, total, kinds, hot = numbered(docs, held, block_bytes, shard_words, shard_tokens)
+    freed(docs.sparkSession)  # the shuffle files of what is written
     shards = max(8, -(-n // shard_tokens))
-    often = table.select(F.explode(F.arrays_zip("often", "times")).alias("x")).groupBy("x.often").agg(F.sum("x.times").alias("n"))
-    found = often.where(F.col("n") > shard_tokens // HOT).select("often").collect()  # at most HOT words for each shard
-    hot = np.sort(np.array([r[0] for r in found], np.int64).view(np.uint64))
     answers = _asked(table, order, shards, hot)
-    freed(docs.sparkSession)  # the messages
-    totals = answers.where(F.col("block") == _TOTALS).agg(F.coalesce(F.sum("n_ask"), F.lit(0)), F.coalesce(F.sum("n_all"), F.lit(0))).first()
-    after = {r[0]: r[1] for r in answers.where(F.col("block") == _KINDS).groupBy("n_ask").agg(F.sum("n_all")).collect()}  # a row for each hot word
-    after_hot = np.array([after.get(h, 0) for h in hot.view(np.int64).tolist()], np.int64)
-    pairs = table.drop("often", "times").groupBy("block").cogroup(answers.where("block >= 0").groupBy("block"))
-    return pairs.applyInArrow(_scores(order, shards, *totals, hot, after_hot), _OUT)
+    freed(docs.sparkSession)
+    after = {r[0]: r[1] for r in answers.where(F.col("block") == _HOT).groupBy("n").agg(F.sum("m")).collect()}  # a row for each hot word
+    after_hot = np.array([after.get(h, 0) for h in hot.tolist()], np.int64)
+    pairs = table.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block"))
+    return pairs.applyInArrow(_scores(order, shards, total, kinds, hot, after_hot), _OUT)
 
 
 def crc_text(x) -> int:
