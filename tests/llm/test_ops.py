@@ -4,6 +4,7 @@ import math
 import random
 import re
 import string
+import time
 import zlib
 from collections import Counter
 
@@ -40,11 +41,9 @@ def _words(t):
     return (t or "").encode().lower().split()
 
 
-@pytest.mark.parametrize("order,shard_tokens", [(2, op1_ngram.SHARD_TOKENS), (3, op1_ngram.SHARD_TOKENS), (3, 400), (2, 400)])
-def test_ngram(docs, none, order, shard_tokens, monkeypatch):
+@pytest.mark.parametrize("order,shard_tokens", [(2, op1_ngram.SHARD_TOKENS), (3, op1_ngram.SHARD_TOKENS), (3, 400), (2, 400), (3, 60)])
+def test_ngram(docs, none, order, shard_tokens):
     """The small shards make some words hot, whose windows are dealt to all shards."""
-    if shard_tokens < 1000:
-        monkeypatch.setattr(op1_ngram, "OFTEN", 3)
     held = "crc32(coalesce(cast(doc_id as string), '')) % 7 = 2"
     got = {(r.doc_id, r.n_tokens): r for r in op1_ngram.score(docs, held, order, block_bytes=4000, shard_tokens=shard_tokens).collect()}
     assert op1_ngram.score(docs, held, order).count() == len(ROWS)
@@ -168,6 +167,15 @@ def test_simhash(spark, none, chunk):
     assert op4_simhash.near_duplicates(none).count() == 0
 
 
+def test_hashes_equal_the_library():
+    data = [random.randbytes(n) for n in [*range(0, 70), 95, 96, 97, 200, 1000]]
+    ends = np.cumsum([len(x) for x in data])
+    buf = np.frombuffer(b"".join(data) + bytes(16), np.uint8)
+    for seed in (0, 42):
+        got = op4_simhash.xxh64(buf, ends - [len(x) for x in data], ends, seed)
+        assert got.tolist() == [xxhash.xxh64_intdigest(x, seed) for x in data]
+
+
 def test_decontamination(spark, docs, none):
     item = "What is the name of the river that runs through the old town. It is the long green river of the north"
     long = " ".join(f"w{k}" for k in range(300))
@@ -330,6 +338,50 @@ def test_segments_are_maximal():
 
         assert abs(max((s for *_, s in got), default=0) - max((sum(value[i:j]) for i, j in brute(0, n)), default=0)) < 1e-9
         assert all(x[1] <= y[0] for x, y in zip(got, got[1:]))
+        assert all(abs(sum(value[a:b]) - s) < 1e-9 for a, b, s in got)
+        if len(set(value)) == n or not any(abs(sum(value[i:j])) < 1e-9 for i in range(n) for j in range(i + 1, n + 1)):  # no ties of sums
+            assert [x[:2] for x in got] == brute(0, n)
+
+
+def test_all_maximal_segments_of_real_scores():
+    rng = random.Random(9)
+    for _ in range(150):
+        n = rng.randint(1, 25)
+        at = sorted(rng.sample(range(n), rng.randint(1, n)))
+        score = {i: rng.uniform(0.05, 2.0) for i in at}
+        value = [score.get(i, -0.35) for i in range(n)]
+
+        def brute(a, b):
+            best = max(((sum(value[i:j]), i, j) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0, 0, 0))
+            return brute(a, best[1]) + [best[1:]] + brute(best[2], b) if best[0] > 0 else []
+
+        assert [x[:2] for x in op8_toxicity.segments(at, [score[i] for i in at], 0.35)] == brute(0, n)
+
+
+def test_segments_in_linear_time():
+    def took(n):
+        # Every search meets many segments: sums fall, and rise again at the end.
+        places, scores = list(range(0, 40 * n, 40)), [1.0 + (k % 7) / 10 for k in range(n)]
+        t = time.perf_counter()
+        op8_toxicity.segments(places, scores, 0.15)
+        op8_toxicity.segments(list(range(n)), scores, 0.15)
+        return time.perf_counter() - t
+
+    assert min(took(160_000) for _ in range(3)) < 20 * min(took(20_000) for _ in range(3))
+
+
+def test_evidence_is_the_best_sum():
+    m = op8_toxicity.Model(lam=0.8, log_k=-3.0)
+    scores, n = [9.0, 4.0, 8.5, 0.5], 200
+    x = sorted((0.8 * s + 3.0 - math.log(n) for s in scores), reverse=True)
+    want = []
+    for r in range(1, 5):
+        t = sum(x[:r])
+        if r == 1 or x[r - 1] > 0:
+            p = math.exp(-t) * t ** (r - 1) / (math.factorial(r) * math.factorial(r - 1))
+            want.append(-math.log(p * 2**r))
+    assert abs(m.aggregate(scores, n) - max(want)) < 1e-9
+    assert m.aggregate([9.0, 8.5], n) > m.aggregate([9.0], n) == m.aggregate([9.0, 0.1], n)
 
 
 def test_pii(spark, docs, none):

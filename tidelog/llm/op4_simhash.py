@@ -18,37 +18,95 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, documents, text_of, written
+from .common import LOWER, Words, blocks, documents, expand, text_of, written
 
 RADIUS, WORDS, SEED = 4, 4, 42
 TILE = 512
 CHUNK = 1 << 14
-
-
-def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
-    w = text.lower().split()
-    if not w:
-        return 0
-    joined = b" ".join(w)
-    if len(w) <= words:
-        return _majority(np.array([xxhash.xxh64_intdigest(joined, seed)], np.uint64))
-    ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    digest = xxhash.xxh64_intdigest
-    n = len(w) - words + 1
-    return _majority(np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[words - 1 :].tolist())), np.uint64, n))
-
-
-def _majority(h: np.ndarray) -> int:
-    count = np.zeros(64, np.int64)
-    for k in range(0, len(h), 1 << 14):
-        some = h[k : k + (1 << 14)]
-        count += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * count > len(h), bitorder="little").view(np.uint64)[0])
+#: Bytes of text and shingles that one step takes.
+STEP, SHINGLES = 1 << 20, 1 << 15
+
+
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def xxh64(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """XXH64 of byte spans, all at once; ``buf`` has eight spare bytes at its end."""
+    eights = np.ndarray((len(buf) - 7,), "<u8", buf, strides=(1,))
+    fours = np.ndarray((len(buf) - 3,), "<u4", buf, strides=(1,))
+    size, seed64 = ends - starts, np.uint64(seed)
+    h, at = np.full(len(starts), seed64 + _P5), starts.copy()
+
+    def round_(acc: np.ndarray, lane: np.ndarray) -> np.ndarray:
+        return _turned(acc + lane * _P2, 31) * _P1
+
+    with np.errstate(over="ignore"):
+        long = np.flatnonzero(size >= 32)
+        if len(long):
+            acc = [np.full(len(long), x) for x in (seed64 + _P1 + _P2, seed64 + _P2, seed64, seed64 - _P1)]
+            on, place = np.arange(len(long)), at[long]
+            while len(on):
+                for k in range(4):
+                    acc[k][on] = round_(acc[k][on], eights[place[on] + 8 * k])
+                place[on] += 32
+                on = on[place[on] + 32 <= ends[long[on]]]
+            whole = _turned(acc[0], 1) + _turned(acc[1], 7) + _turned(acc[2], 12) + _turned(acc[3], 18)
+            for x in acc:
+                whole = (whole ^ round_(np.zeros_like(x), x)) * _P1 + _P4
+            h[long], at[long] = whole, place
+        h += size.astype(np.uint64)
+        on = np.flatnonzero(at + 8 <= ends)
+        while len(on):
+            h[on] = _turned(h[on] ^ round_(np.zeros(len(on), np.uint64), eights[at[on]]), 27) * _P1 + _P4
+            at[on] += 8
+            on = on[at[on] + 8 <= ends[on]]
+        on = np.flatnonzero(at + 4 <= ends)
+        h[on] = _turned(h[on] ^ fours[at[on]].astype(np.uint64) * _P1, 23) * _P2 + _P3
+        at[on] += 4
+        on = np.flatnonzero(at < ends)
+        while len(on):
+            h[on] = _turned(h[on] ^ buf[at[on]].astype(np.uint64) * _P5, 11) * _P1
+            at[on] += 1
+            on = on[at[on] < ends[on]]
+        h = (h ^ (h >> np.uint64(33))) * _P2
+        h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
+
+
+def fingerprints_of(column: pa.Array, words: int = WORDS, seed: int = SEED) -> np.ndarray:
+    """The fingerprints of texts: shingles of their lower-cased words, hashed and counted in steps over all texts."""
+    w = Words(column, LOWER)
+    n, sizes = len(column), w.ends - w.starts
+    # The words again with one space between: a shingle is one span of these.
+    ends = np.cumsum(sizes + 1) - 1
+    starts = ends - sizes
+    buf = np.full(int(ends[-1]) + 17 if len(ends) else 16, 0x20, np.uint8)
+    buf[expand(starts, sizes)] = w.buf[expand(w.starts, sizes)]
+    count = np.diff(w.first)
+    each = np.where(count > 0, np.maximum(count - words + 1, 1), 0)
+    first = np.cumsum(each) - each
+    begin = expand(w.first[:-1], each)
+    last = np.minimum(begin + words, np.repeat(w.first[1:], each)) - 1
+    out = np.zeros(n, np.uint64)
+    ones = np.zeros((n, 64), np.int64)
+    row = np.repeat(np.arange(n), each)
+    for k in range(0, len(begin), SHINGLES):
+        some = slice(k, k + SHINGLES)
+        h = xxh64(buf, starts[begin[some]], ends[last[some]], seed)
+        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        own = row[some]
+        cut = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        ones[own[cut]] += np.add.reduceat(bits, cut, axis=0, dtype=np.int64)
+    if n:
+        out = np.packbits(2 * ones > each[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    return out
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
@@ -56,8 +114,8 @@ def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in blocks(batch):
-                fp = np.array([fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", words, seed) for x in some.column("text").cast(pa.binary())], np.uint64)
+            for some in blocks(batch, most=STEP):
+                fp = fingerprints_of(some.column("text"), words, seed)
                 yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, fp long")

@@ -1,16 +1,21 @@
 """Toxic passages as maximum-scoring segments of word log-odds.
 
-Word scores are log-odds ratios of document frequencies in toxic and other labelled texts under a Dirichlet prior in
-proportion to the pooled frequencies (Monroe et al.); the lower bound of a
-significantly positive ratio counts, other words cost a small fixed drift. Ruzzo and Tompa's linear-time scan finds every maximal segment. Scores follow an extreme-value law
-(Karlin and Altschul): lambda solves sum p e^(lambda s) = 1 over background words, K is fitted to the best segments
-of the other texts, and a segment is significant if its expected number by chance is small. A document's score is
-the probability of the label by a logistic curve over its best segment's evidence, fitted on training rows.
+Token scores are log-odds ratios of word frequencies in toxic and other labelled texts under a Dirichlet prior in
+proportion to the pooled frequencies (Monroe et al.); the lower bound of a significantly positive ratio counts if
+the word is in LEAST_TEXTS toxic texts at least (within a text, words repeat), other words cost a small fixed drift. Ruzzo
+and Tompa's scan finds every maximal segment in linear time.
+
+Scores follow an extreme-value law (Karlin and Altschul): lambda solves sum p e^(lambda s) = 1 over the words of the other
+texts, K is the most likely value for the best segments of these texts. A segment's normalised score is x = lambda s -
+log(K n), the expected number of such by chance e^-x; it is significant if that is small. A document's segments are
+aggregated by the law's sums: the r best sum up to t with probability e^-t t^(r-1) / (r! (r-1)!) by chance, and the
+least of these over all r, each weighted by 2^-r, is the document's evidence. Its score is the probability of the label by a
+logistic curve over the evidence, fitted on training rows.
 
 The fit takes about 3,000 toxic and 6,000 other labelled texts (parameters). Null and empty texts have no segment and
 get the share of toxic texts among those without; rows with null labels teach nothing; of several labels of a
-document the largest counts; repeated rows are scored each; without labels all scores are 0; further columns are
-ignored."""
+document the largest counts; repeated rows are scored each; of segments with equal scores the first ones come first;
+without labels all scores are 0; further columns are ignored."""
 
 from __future__ import annotations
 
@@ -30,7 +35,7 @@ from .op10_langid import RUNS
 TOXIC, OTHER = 3000, 6000
 #: Words cost DRIFT; a term's score is its log-odds less Z standard deviations, and counts from LEAST on. The prior
 #: weighs PRIOR of all counts.
-DRIFT, Z, LEAST, PRIOR = 0.15, 2.5, 1.5, 0.02
+DRIFT, Z, LEAST, PRIOR, LEAST_TEXTS = 0.15, 2.75, 1.5, 0.02, 4
 SIGNIFICANT = 0.05
 
 
@@ -39,21 +44,28 @@ def term(word: str) -> str:
 
 
 def segments(places: list[int], scores: list[float], drift: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (first word, end, score) of a text with these positive words; all others cost drift."""
-    found: list[list[float]] = []  # first word, end, sum before it, sum at its end
+    """All maximal scoring segments (first word, end, score) of a text with these positive words; all others cost drift.
+
+    ``found`` has the segments so far as (first, end, sum before it, sum at its end, the nearest earlier one with a smaller
+    sum before it). What lies between a segment and that one has no smaller sum before it than the segment, so a search
+    goes from one to the next by these links: each is followed once, and all takes linear time."""
+    found: list[tuple[int, int, float, float, int]] = []
     total, at = 0.0, 0
     for p, s in zip(places, scores):
         total -= drift * (p - at)
-        new = [p, p + 1, total, total + s]
+        first, before = p, total
         total, at = total + s, p + 1
+        j = len(found) - 1
         while True:
-            j = next((j for j in range(len(found) - 1, -1, -1) if found[j][2] < new[2]), -1)
-            if j < 0 or found[j][3] >= new[3]:
-                found.append(new)
+            while j >= 0 and found[j][2] >= before:
+                j = found[j][4]
+            if j < 0 or found[j][3] >= total:
+                found.append((first, at, before, total, j))
                 break
-            new = [found[j][0], new[1], found[j][2], new[3]]
+            first, _, before, _, link = found[j]
             del found[j:]
-    return [(int(a), int(b), hi - lo) for a, b, lo, hi in found]
+            j = link
+    return [(a, b, hi - lo) for a, b, lo, hi, _ in found]
 
 
 @dataclass
@@ -69,6 +81,18 @@ class Model:
         """-log of the number of segments with this score that n background words give by chance."""
         return self.lam * score - self.log_k - np.log(np.maximum(n, 1))
 
+    def aggregate(self, scores: list[float], n: int) -> float:
+        """Evidence of a text of n words with these segments: of the r best together, for the best r."""
+        best, t, logs = -math.inf, 0.0, 0.0
+        for r, x in enumerate(sorted((float(self.evidence(s, n)) for s in scores), reverse=True), 1):
+            t += x
+            if r > 1 and (x <= 0 or t <= 0):
+                break
+            logs += math.log(r) + (math.log(r - 1) if r > 1 else 0.0)  # of r! (r - 1)!
+            own = t if r == 1 else t - (r - 1) * math.log(t) + logs
+            best = max(best, own - r * math.log(2))
+        return best
+
     def probability(self, x):
         return 1 / (1 + np.exp(-np.clip(self.curve[0] + self.curve[1] * x, -30, 30)))
 
@@ -101,21 +125,23 @@ class Scanner:
 
 
 def frequencies(texts: DataFrame) -> DataFrame:
-    """(term, toxic, n): in how many texts each term is."""
+    """(term, toxic, n, texts): how often each term is there, and in how many texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: Counter = Counter()
+            found, where = Counter(), Counter()
             for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
-                found.update((t, toxic) for t in {term(w) for w in text.split()} if t)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int32()), pa.array(list(found.values()), pa.int64())], ["term", "toxic", "n"])
+                own = Counter((t, toxic) for t in map(term, text.split()) if t)
+                found.update(own)
+                where.update(own.keys())
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int32()), pa.array(list(found.values()), pa.int64()), pa.array([where[k] for k in found], pa.int64())], ["term", "toxic", "n", "texts"])
 
-    return texts.select("toxic", "text").mapInArrow(run, "term string, toxic int, n long").groupBy("term", "toxic").agg(F.sum("n").alias("n"))
+    return texts.select("toxic", "text").mapInArrow(run, "term string, toxic int, n long, texts long").groupBy("term", "toxic").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
 
 
 def log_odds(freq: DataFrame, prior: float = PRIOR, z: float = Z) -> tuple[dict[str, float], dict[str, float]]:
     """Scores of the terms that are significantly commoner in toxic texts, and their background shares."""
-    wide = freq.groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b"))
+    wide = freq.groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b"), *(F.sum(F.when(F.col("toxic") == k, F.col("texts")).otherwise(0)).alias(x) for k, x in ((1, "ta"), (0, "tb"))))
     wide = written(wide, "op8-terms")
     na, nb = (float(x or 0) for x in wide.agg(F.sum("a"), F.sum("b")).first())
     if not na or not nb:
@@ -124,8 +150,10 @@ def log_odds(freq: DataFrame, prior: float = PRIOR, z: float = Z) -> tuple[dict[
     alpha = F.lit(prior) * (F.col("a") + F.col("b"))
     part = lambda y, n: F.log((y + alpha) / (n + weight - y - alpha))
     delta = part(F.col("a"), na) - part(F.col("b"), nb)
-    sigma = F.sqrt(1 / (F.col("a") + alpha) + 1 / (F.col("b") + alpha))
-    chosen = wide.select("term", (delta - z * sigma).alias("d"), ((F.col("b") + alpha) / (nb + weight)).alias("share")).where(F.col("d") >= LEAST)
+    # A word repeats within a text: so many times over, the variance is that of the texts.
+    burst = lambda y, t: F.greatest(F.lit(1.0), F.col(y) / F.greatest(F.col(t), F.lit(1)))
+    sigma = F.sqrt(burst("a", "ta") / (F.col("a") + alpha) + burst("b", "tb") / (F.col("b") + alpha))
+    chosen = wide.select("term", "ta", (delta - z * sigma).alias("d"), ((F.col("b") + alpha) / (nb + weight)).alias("share")).where((F.col("d") >= LEAST) & (F.col("ta") >= LEAST_TEXTS))
     rows = chosen.collect()  # significant terms of a bounded sample
     return {r.term: r.d for r in rows}, {r.term: r.share for r in rows}
 
@@ -171,26 +199,26 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, other: int = OTH
     if not scores:
         return model
     terms = list(scores)
-    model.lam = root(np.array([scores[t] for t in terms]), np.array([shares[t] for t in terms]) / 10, model.drift)
+    model.lam = root(np.array([scores[t] for t in terms]), np.array([shares[t] for t in terms]), model.drift)
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(model)
         for batch in batches:
             for part in blocks(batch):
-                n, found = scanner.segments(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(n), pa.array([max((s for *_, s in x), default=0.0) for x in found])], ["toxic", "n", "best"])
-
-    rows = texts.mapInArrow(best, "toxic int, n long, best double").collect()
-    y, n, s = (np.array([r[k] for r in rows], float) for k in range(3))
-    weight = np.array([natural.get(k, 0) / max((y == k).sum(), 1) for k in (0, 1)])[y.astype(int)]
-    chance = s[(y == 0)]
-    # Mean of e^(lambda s) / n over best segments by chance estimates K; without any, a share of one in the sample.
-    hits = chance > 0
-    model.log_k = math.log(max(float((np.exp(np.minimum(model.lam * chance[hits], 50)) / np.maximum(n[y == 0][hits], 1)).sum()), 1e-3) / max(len(chance), 1))
-    with_one = s > 0
-    model.without = float((weight * y)[~with_one].sum() / max(weight[~with_one].sum(), 1e-9))
-    if with_one.any():
-        model.curve = logistic(model.evidence(s, n)[with_one], y[with_one], weight[with_one])
+                n, each = scanner.segments(part.column("text"))
+                yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(n), pa.array([[s for *_, s in x] for x in each], pa.list_(pa.float64()))], ["toxic", "n", "scores"])
+
+    rows = texts.mapInArrow(found, "toxic int, n long, scores array<double>").collect()  # bounded by the parameters
+    y = np.array([r.toxic for r in rows])
+    weight = np.array([natural.get(k, 0) / max((y == k).sum(), 1) for k in (0, 1)])[y]
+    # The most likely K for the other texts' best segments; those without one count as a score of 0 that was not reached.
+    chance = [(max(r.scores, default=0.0), max(r.n, 1)) for r in rows if r.toxic == 0]
+    hits = sum(s > 0 for s, _ in chance)
+    model.log_k = math.log(max(hits, 0.5) / max(sum(n * math.exp(-model.lam * s) for s, n in chance), 1e-9))
+    some = np.array([bool(r.scores) for r in rows])
+    model.without = float((weight * y)[~some].sum() / max(weight[~some].sum(), 1e-9))
+    if some.any():
+        model.curve = logistic(np.array([model.aggregate(r.scores, r.n) for r in rows if r.scores]), y[some].astype(float), weight[some])
     return model
 
 
@@ -210,7 +238,7 @@ def passages(docs: DataFrame, model: Model, significant: float = SIGNIFICANT) ->
                 for i, x in enumerate(found):
                     each = [(a, b, s, float(np.exp(-model.evidence(s, n[i])))) for a, b, s in x]
                     if each:
-                        scores[i] = model.probability(model.evidence(max(s for *_, s, _ in each), n[i]))
+                        scores[i] = model.probability(model.aggregate([s for *_, s in x], n[i]))
                     out.append([dict(zip(("first", "end", "score", "expected"), e)) for e in each if e[3] <= significant])
                 yield pa.RecordBatch.from_arrays([*(some.column(f.name) for f in kept), pa.array(n), pa.array(scores), pa.array(out, kind)], [*(f.name for f in kept), "n_words", "score", "passages"])
 
