@@ -2,8 +2,8 @@
 
 Token scores are log-odds ratios of word frequencies in toxic and other labelled texts under a Dirichlet prior in
 proportion to the pooled frequencies (Monroe et al.); the lower bound of a significantly positive ratio counts if
-the word is in LEAST_TEXTS toxic texts at least (within a text, words repeat), other words cost a small fixed drift. Ruzzo
-and Tompa's scan finds every maximal segment in linear time.
+that of the numbers of texts with the word is as well (as words repeat within a text); other words cost a small fixed
+drift. Ruzzo and Tompa's scan finds every maximal segment in linear time.
 
 Scores follow an extreme-value law (Karlin and Altschul): lambda solves sum p e^(lambda s) = 1 over the words of the other
 texts, K is the most likely value for the best segments of these texts. A segment's normalised score is x = lambda s -
@@ -26,7 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Known, Words, blocks, documents, remainder, sampled, schema_with, text_of, written
@@ -35,7 +35,7 @@ from .op10_langid import RUNS
 TOXIC, OTHER = 3000, 6000
 #: Words cost DRIFT; a term's score is its log-odds less Z standard deviations, and counts from LEAST on. The prior
 #: weighs PRIOR of all counts.
-DRIFT, Z, LEAST, PRIOR, LEAST_TEXTS = 0.15, 2.75, 1.5, 0.02, 4
+DRIFT, Z, LEAST, PRIOR = 0.15, 2.5, 1.5, 0.02
 SIGNIFICANT = 0.05
 
 
@@ -143,17 +143,19 @@ def log_odds(freq: DataFrame, prior: float = PRIOR, z: float = Z) -> tuple[dict[
     """Scores of the terms that are significantly commoner in toxic texts, and their background shares."""
     wide = freq.groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b"), *(F.sum(F.when(F.col("toxic") == k, F.col("texts")).otherwise(0)).alias(x) for k, x in ((1, "ta"), (0, "tb"))))
     wide = written(wide, "op8-terms")
-    na, nb = (float(x or 0) for x in wide.agg(F.sum("a"), F.sum("b")).first())
-    if not na or not nb:
+    def bound(toxic: str, other: str) -> tuple[Column, Column]:
+        """Lower bound of the log-odds ratio for these counts, and the share among the other ones."""
+        na, nb = (float(x or 0) for x in wide.agg(F.sum(toxic), F.sum(other)).first())
+        weight = prior * (na + nb)
+        alpha = F.lit(prior) * (F.col(toxic) + F.col(other))
+        part = lambda y, n: F.log((F.col(y) + alpha) / (n + weight - F.col(y) - alpha))
+        sigma = F.sqrt(1 / (F.col(toxic) + alpha) + 1 / (F.col(other) + alpha))
+        return part(toxic, na) - part(other, nb) - z * sigma, (F.col(other) + alpha) / (nb + weight)
+
+    if not all(wide.agg(F.sum("a"), F.sum("b")).first()):
         return {}, {}
-    weight = prior * (na + nb)
-    alpha = F.lit(prior) * (F.col("a") + F.col("b"))
-    part = lambda y, n: F.log((y + alpha) / (n + weight - y - alpha))
-    delta = part(F.col("a"), na) - part(F.col("b"), nb)
-    # A word repeats within a text: so many times over, the variance is that of the texts.
-    burst = lambda y, t: F.greatest(F.lit(1.0), F.col(y) / F.greatest(F.col(t), F.lit(1)))
-    sigma = F.sqrt(burst("a", "ta") / (F.col("a") + alpha) + burst("b", "tb") / (F.col("b") + alpha))
-    chosen = wide.select("term", "ta", (delta - z * sigma).alias("d"), ((F.col("b") + alpha) / (nb + weight)).alias("share")).where((F.col("d") >= LEAST) & (F.col("ta") >= LEAST_TEXTS))
+    (d, share), (by_text, _) = bound("a", "b"), bound("ta", "tb")
+    chosen = wide.select("term", d.alias("d"), share.alias("share"), by_text.alias("t")).where((F.col("d") >= LEAST) & (F.col("t") >= LEAST))
     rows = chosen.collect()  # significant terms of a bounded sample
     return {r.term: r.d for r in rows}, {r.term: r.share for r in rows}
 
