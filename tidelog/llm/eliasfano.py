@@ -223,21 +223,21 @@ class Trie:
     def ranks(self, hashes: np.ndarray) -> np.ndarray:
         return self.words.find(hashes)
 
-    def after_word(self, last: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Codes of A for words after a word (of a hot word: of their counts); 0 where there is none."""
-        at, _ = self.two.find(last, word)
-        return np.where(at >= 0, self.a["two.a"][np.maximum(at, 0)] if len(self.a["two.a"]) else 0, 0).astype(np.uint16)
-
-    def after_pair(self, pair: np.ndarray, last: np.ndarray, before: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of A for words after pairs, and of R for the pairs; pair: index of each row's pair among (last, before)."""
+    def shares(self, place: np.ndarray) -> np.ndarray:
+        """Codes of A at places of level two (of a hot word: of the count); 0 for the place -1."""
+        if not len(self.a["two.a"]):
+            return np.zeros(len(place), np.uint16)
+        return np.where(place >= 0, self.a["two.a"][np.maximum(place, 0)], 0).astype(np.uint16)
+
+    def after_pair(self, pair: np.ndarray, last: np.ndarray, before: np.ndarray, which: np.ndarray, place: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of A for words after pairs, and of R for the pairs (last, before). pair: each row's pair; which: its entry in
+        place and begin, where its two words are in level two and where the first one's successors begin."""
         node, _ = self.pairs.find(last, before)
         known = node >= 0
         rest = np.full(len(node), quantise(np.ones(1))[0], np.uint16)
         rest[known] = self.a["pairs.r"][node[known]]
-        out = np.zeros(len(word), np.uint16)
-        some = np.flatnonzero(known[pair])
-        at, begin = self.two.find(last[pair[some]], word[some])
-        some, place = some[at >= 0], (at - begin)[at >= 0]
-        at, _ = self.three.find(node[pair[some]], place)
+        out = np.zeros(len(pair), np.uint16)
+        some = np.flatnonzero(known[pair] & (place >= 0)[which])
+        at, _ = self.three.find(node[pair[some]], (place - begin)[which[some]])
         out[some[at >= 0]] = self.a["three.a"][at[at >= 0]]
         return out, rest

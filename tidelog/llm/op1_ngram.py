@@ -193,9 +193,9 @@ def _known(hashes: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
 
 
 def _starts(*columns: np.ndarray) -> np.ndarray:
-    """Rows at which one of the columns changes, the first row included."""
-    new = np.ones(len(columns[0]), bool)
-    new[1:] = False
+    """Whether one of the columns changes at a row; the first row counts."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
     for c in columns:
         new[1:] |= c[1:] != c[:-1]
     return new
@@ -298,37 +298,40 @@ def _answers(hot: np.ndarray):
             p[0], p[4] = np.cumsum(p[0]), np.cumsum(p[4])
             return p
 
-        # A message is unpacked three times: packed, all of them are small.
         words = np.zeros(0, np.int64)
         for k in range(0, len(messages), 16):
-            words = np.unique(np.concatenate([words, *(x for m in messages[k : k + 16] for i, x in enumerate(parts(m)) if i not in (3, 6))]))
+            some = [p[:3] + p[4:6] for p in map(parts, messages[k : k + 16])]
+            words = np.unique(np.concatenate([words, *(x[_starts(x)] if i in (0, 3) else x for p in some for i, x in enumerate(p))]))
         is_hot = _known(words, hot)
-        tri, two = [], []
         rank = lambda x: np.searchsorted(words, x).astype(np.int32)
+        own, counts = [], []
         for m in messages:
             p = parts(m)
-            some = np.flatnonzero(p[3])
-            tri.append((*(rank(p[k][some]) for k in range(3)), p[3][some].astype(np.uint32)))
-            some = np.flatnonzero(p[6])
-            two.append((rank(p[4][some]), rank(p[5][some]), p[6][some].astype(np.uint32)))
-        tri, two = (tuple(map(np.concatenate, zip(*x))) for x in (tri, two))
-        arrays = Trie.build(words, is_hot, tri, two)
-        del tri, two
+            new = _starts(p[0])
+            own.append((rank(p[0][new])[np.cumsum(new) - 1], rank(p[1]), rank(p[2]), rank(p[4]), rank(p[5])))
+            counts.append((p[3].astype(np.uint32), p[6].astype(np.uint32)))
+        tri = tuple(np.concatenate([p[i][c[0] > 0] for p, c in zip(own, counts)]) for i in range(3))
+        two = tuple(np.concatenate([p[i][c[1] > 0] for p, c in zip(own, counts)]) for i in (3, 4))
+        seen = [np.concatenate([c[i][c[i] > 0] for c in counts]) for i in (0, 1)]
+        arrays = Trie.build(words, is_hot, (*tri, seen[0]), (*two, seen[1]))
+        del tri, two, seen, counts
         rows: list[tuple] = [(_HOT, shard, int(words[w]), int(n), b"") for w, n in zip(arrays["hot"], arrays["kinds"]) if n]
         path = os.path.join(tempfile.gettempdir(), f"trie-{uuid.uuid4().hex}")
         try:
             save(path, arrays)
             del arrays, words
             trie = Trie(load(path))
-            for m in messages:
-                p = parts(m)
-                l, u, w = (trie.ranks(x) for x in p[:3])
+            for k, m in enumerate(messages):
+                l, u, w, hot_l, hot_w = own[k]
+                own[k] = None
                 new = _starts(l, u)
-                after, rest = trie.after_pair(np.cumsum(new) - 1, l[new], u[new], w)
-                cold = ~is_hot[l]
-                key = np.unique(l[cold] * trie.n + w[cold])  # the block has them in this order
-                cold_l, cold_w = key // trie.n, key % trie.n
-                each = [after, rest, trie.after_word(cold_l, cold_w), trie.a["words.r"][cold_l], trie.after_word(trie.ranks(p[4]), trie.ranks(p[5]))]
+                # Distinct words after a word, in order: the block has those after words that are not hot in this order.
+                key, which = np.unique(l.astype(np.int64) * trie.n + w, return_inverse=True)
+                first, second = key // trie.n, key % trie.n
+                place, begin = trie.two.find(first, second)
+                after, rest = trie.after_pair(np.cumsum(new) - 1, l[new], u[new], which, place, begin)
+                cold = ~is_hot[first]
+                each = [after, rest, trie.shares(place[cold]), trie.a["words.r"][first[cold]], trie.shares(trie.two.find(hot_l, hot_w)[0])]
                 rows.append((m["block"], shard, sum(map(len, each)), 0, _squeeze(np.concatenate(each).astype("<u2"))))
         finally:
             if os.path.exists(path):
