@@ -467,3 +467,71 @@ def test_pii_windows(spark):
     trees = op9_pii.Trees(np.array([[16 if i == 0 else int(i == k) * v for i in range(len(op9_pii.FEATURES))] for v in (0, 1)]), np.array([0.0, 50.0]), np.array([50.0, 0.0]))
     df = spark.createDataFrame([("pay 2024 4111 1111 1111 1111 now",)], "text string")
     assert [r.spans for r in op9_pii.found(df, {"card": (trees, 0.5)}).collect()] == [[("card", 9, 28)]]
+
+
+def _plain_base(text):
+    """The base spans by the contract's patterns, with Python's expressions."""
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", text):
+        out.append(("email", *m.span()))
+    for m in re.finditer(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", text):
+        if all(int(x) <= 255 for x in m[0].split(".")):
+            out.append(("ip", *m.span()))
+    for m in re.finditer(r"[0-9](?:[ -]?[0-9])+", text):
+        d = [int(c) for c in reversed(m[0]) if c.isdigit()]
+        if 16 <= len(d) <= 19 and sum(x if k % 2 == 0 else sum(divmod(2 * x, 10)) for k, x in enumerate(d)) % 10 == 0:
+            out.append(("card", *m.span()))
+    for m in re.finditer(r"\+[0-9][ ().0-9-]+[0-9]", text):
+        if 8 <= sum(c.isdigit() for c in m[0]) <= 15:
+            out.append(("phone", *m.span()))
+    return out
+
+
+def test_pii_base_equals_plain_patterns(spark):
+    rng = random.Random(21)
+    pieces = ["4111 1111 1111 1111", "4111111111111111", "10.0.0.255", "1.2.3.4.5", "256.1.1.1", "a.b@c.de", "x@y.zz", "@", ".", "+", "+1 (017) 555-7713", "+49-30-1234567", "1", "22", "é", " ", "-", "6304000000000000000", "0", "a", "\n"]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(0, 12))) for _ in range(600)]
+    texts += [" ".join(rng.choices(pieces, k=400)) for _ in range(3)] + ["a@b" + ".c" * 20_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [tuple(x) for x in r.base] for r in op9_pii.found(df, {}).collect()}
+    assert got == {i: _plain_base(t) for i, t in enumerate(texts)}
+
+
+def test_pii_nearness(spark):
+    rng = random.Random(22)
+    for _ in range(3):
+        cuts = sorted(rng.sample(range(3000), 600))
+        others = [(a, b) for a, b in zip(cuts[::2], cuts[1::2])]
+        spans = [(a, a + rng.randint(1, 12)) for a in rng.sample(range(3000), 500)] + rng.sample(others, 50)
+        df = spark.createDataFrame([(spans, others)], "s array<struct<start:int,end:int>>, o array<struct<start:int,end:int>>")
+        got = df.select(op9_pii.nearness(F.col("s"), F.col("o")).alias("n")).first().n
+        assert got == [op9_pii.EQUAL if x in others else op9_pii.TOUCHES if any(x[0] < b and a < x[1] for a, b in others) else op9_pii.FREE for x in spans]
+
+
+@pytest.fixture(scope="module")
+def pii_model(spark):
+    docs = spark.createDataFrame([(i, f"ab cd {i} on 2024-01-{10 + i % 19} write a{i}@b.org or 10.0.0.{i % 250} order 4031065727380220") for i in range(300)], "doc_id long, text string")
+    return op9_pii.fit(docs)
+
+
+def test_pii_trees_add_and_reject(spark, pii_model):
+    added = {
+        1: ("reach me: jane.doe (at) mail (dot) org today", "email", "jane.doe (at) mail (dot) org"), 2: ("paid 2024 4111 1111 1111 1111 now", "card", "4111 1111 1111 1111"),
+        3: ("é call (017) 555-7713 tonight", "phone", "(017) 555-7713"), 4: ("amex card 3782 822463 10005.", "card", "3782 822463 10005"),
+    }
+    left = {10: "born on 2024-01-15, moved 12.03.1999", 11: "it cost 1.299.000 or 12 345 678 in all", 12: "version 3.14159265358 of 2019-2023", 13: "order 4031065727380221 item 978-3-16-148410-0", 14: "300.1.2.3 and 1.2.3.4.5.6"}
+    df = spark.createDataFrame([(k, x[0]) for k, x in added.items()] + list(left.items()), "doc_id long, text string")
+    got = {r.doc_id: [(x.kind, r.text[x.start : x.end]) for x in r.spans] for r in op9_pii.found(df, pii_model).collect()}
+    assert {k: got[k] for k in added} == {k: [(kind, s)] for k, (_, kind, s) in added.items()}
+    assert {k: got[k] for k in left} == {k: [] for k in left}
+
+
+def test_pii_long_texts_in_seconds(spark, pii_model):
+    many = " ".join(f"a{i}@b{i}.org" for i in range(100_000))
+    table = "\n".join(" ".join(f"{i * 37 % 9999}" for i in range(k, k + 6)) for k in range(0, 6000, 6))
+    df = spark.createDataFrame([(1, many, "x", 1), (2, table, "x", 1)], "doc_id long, text string, base string, spans int")
+    op9_pii.redact(df.limit(1), pii_model).collect()
+    began = time.perf_counter()
+    got = {r.doc_id: r.text for r in op9_pii.redact(df, pii_model).collect()}
+    assert time.perf_counter() - began < 60
+    assert got[1] == " ".join(["[EMAIL]"] * 100_000) and len(got[2]) > 1000
