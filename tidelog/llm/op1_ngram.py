@@ -40,7 +40,7 @@ from .eliasfano import COUNT, Trie, load, quantise, save, value
 ORDER = 3
 BLOCK, STEP = 8 << 20, 2 << 20
 #: Words of blocks to a shard of words, tokens to a shard of windows; more than 1 / HOT of these make a word hot.
-SHARD_WORDS, SHARD_TOKENS, HOT = 4_000_000, 2_000_000, 4
+SHARD_WORDS, SHARD_TOKENS, HOT = 2_000_000, 1_000_000, 4
 BEGIN, END = np.uint64(1), np.uint64(2)
 
 
