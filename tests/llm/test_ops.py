@@ -127,6 +127,106 @@ def test_sharding(docs, none, spark):
     assert op2_sharding.shard(none).count() == 0
 
 
+def _balanced(rows, most=1.1):
+    size, where = Counter(), {}
+    for r in rows:
+        size[r.shard] += r.size
+        where.setdefault(r.text_crc32, set()).add(r.shard)
+    for s in range(8):
+        slots = sorted(r.slot for r in rows if r.shard == s)
+        assert slots == list(range(len(slots)))
+    assert max(size.values()) <= most * sum(size.values()) / 8 and len(size) == 8
+    return where
+
+
+def test_shards_of_middling_groups(spark):
+    """Groups of equal texts, each below a range's share, and many to a range; all rows of a group in one shard."""
+    rng = random.Random(31)
+    texts = [f"text {k} " + "x" * rng.randint(0, 60) for k in range(300)]
+    rows = [(i, rng.choice(texts)) for i in range(6000)]
+    got = op2_sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), ranges_each=4).collect()
+    where = _balanced(got)
+    assert all(len(x) == 1 for x in where.values())
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((i, len(t) + 1, zlib.crc32(t.encode())) for i, t in rows)
+
+
+def test_overfull_ranges_are_cut(spark, monkeypatch):
+    """With a sample of no use, all rows begin in one range."""
+    monkeypatch.setattr(op2_sharding, "_splitters", lambda rows, total, ranges: [])
+    df = spark.createDataFrame([(i, f"text number {i}") for i in range(8000)], "doc_id long, text string")
+    assert all(len(x) == 1 for x in _balanced(op2_sharding.shard(df).collect()).values())
+
+
+def test_a_heavy_group_of_repeated_rows(spark):
+    df = spark.createDataFrame([(7 if i < 1500 else None, "same text") if i < 3000 else (i, f"text number {i}") for i in range(4000)], "doc_id long, text string")
+    rows = op2_sharding.shard(df).collect()
+    where = _balanced(rows, 1.15)
+    assert len(rows) == 4000 and all(len(x) == 1 for k, x in where.items() if k != zlib.crc32(b"same text"))
+
+
+def _plain_counts(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    seen, dup = set(), 0
+    for line in (text or "").split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    three = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
+    often = Counter(three)
+    covered = {k + j for k, w in enumerate(three) if often[w] > 1 for j in range(3)}
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), dup, len(covered)
+
+
+def test_quality_counts_equal_plain_ones(spark):
+    rng = random.Random(33)
+    texts = [t for _, t in ROWS] + ["".join(rng.choices(["a", "b ", "é#", "\n", "a b a", " ", "|", "\t", "\r\n"], k=rng.randint(0, 60))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in op3_quality.judged(df, None, ["doc_id"]).collect():
+        n, *rest = want = _plain_counts(texts[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (n < 50 or 100 * rest[3] > 50 * n) == (not r.kept)
+
+
+def test_forest_equals_plain_trees():
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(300, 3)), np.repeat(rng.normal(size=(1, 3)), 30, axis=0)])  # with ties
+    forest = op3_quality.Forest(x, trees=20, psi=64)
+
+    def mean_path(n):
+        return 0 if n <= 1 else 1 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+
+    def path(t, row):
+        node = 0
+        for _ in range(forest.depth):
+            node = 2 * node + 1 + (row[forest.feature[t, node]] >= forest.cut[t, node])
+        return forest.path[t, node]
+
+    want = [2 ** (-np.mean([path(t, row) for t in range(20)]) / mean_path(64)) for row in x]
+    assert np.allclose(forest.score(x), want)
+    # A tree's leaves: as deep as their splits, and further by what their rows are worth.
+    some = x[np.random.default_rng(op3_quality.SEED).choice(len(x), 64, replace=False)]
+    assert abs(np.mean([path(0, row) for row in some]) - mean_path(64)) < 3
+
+
+def test_quality_verdict_is_calibrated_apart(spark):
+    """Good texts of plain words, bad ones of few; the verdict is the plain rule over the forest's scores."""
+    rng = random.Random(34)
+    words = [f"w{k}" for k in range(500)]
+    text = lambda bad: " ".join(rng.choices(words[:9] if bad else words, k=120)) + (" ###" * 60 if bad else "")
+    rows = [(i, text(i % 10 == 0), int(i % 10 != 0)) for i in range(1200)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows] + [(0, 1), (None, 0), (5, None)], "doc_id long, quality int")
+    forest, least = model = op3_quality.fit(docs, labels)
+    out = op3_quality.judged(docs, model, ["doc_id"]).collect()
+    assert all(r.kept == (not r.base_failed and r.anomaly < least) for r in out)
+    good = {i for i, _, q in rows if q}
+    apart = [r for r in out if zlib.crc32(str(r.doc_id).encode()) % 2]
+    assert sum(not r.kept for r in apart if r.doc_id in good) <= 0.005 * len(apart)
+    assert sum(not r.kept for r in out if r.doc_id not in good) > 0.8 * 120
+    tie = op3_quality.threshold(np.array([0.5, 0.5, 0.6, 0.6]), np.array([True, True, False, False]))
+    assert 0.5 < tie <= 0.6
+
+
 def test_quality(docs, none, spark):
     got = op3_quality.judged(docs, None, ["doc_id"]).collect()
     assert len(got) == len(ROWS) and {r.doc_id for r in got if r.kept} <= {i for i, t in ROWS if t and len(t.encode().split()) >= 50}
