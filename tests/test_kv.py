@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.oracle import differences
+from tidelog import kv_jobs  # noqa: F401
 from tidelog import kv_queries as q
 from tidelog.functions import codec, integrity
 from tidelog.operators import catalog, objects, snapshot

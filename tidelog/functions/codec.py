@@ -72,14 +72,46 @@ def align_down(x: Column, to: int) -> Column:
     return (F.floor(x / to) * to).cast("long")
 
 
-def human_size(x: Column) -> Column:
-    """Base-1000 sizes with one decimal from a thousand on."""
-    units, out = ["kB", "MB", "GB", "TB", "PB", "EB"], F.concat(x.cast("string"), F.lit(" B"))
-    for k, unit in enumerate(units, 1):
-        out = F.when(x >= 1000**k, F.concat(F.round(x / 1000**k, 1).cast("decimal(20,1)").cast("string"), F.lit(f" {unit}"))).otherwise(out)
+def _in_units(x: Column, places: int, glue: str) -> Column:
+    out = F.lit(None).cast("string")
+    for k, unit in enumerate(("B", "KB", "MB", "GB", "TB", "PB", "EB")):
+        value = F.round(x.cast("double") / float(1000**k), places).cast(f"decimal(20,{places})").cast("string")
+        out = F.when(x >= F.lit(1000**k), F.concat(value, F.lit(glue + unit))).otherwise(out)
     return out
 
 
+def human_size(x: Column) -> Column:
+    """Base-1000 sizes with one decimal: ``999.0 B``, ``1.5 KB``; ``0B``."""
+    return F.when(x == 0, "0B").otherwise(_in_units(x, 1, " "))
+
+
+def human_throughput(x: Column) -> Column:
+    """Base-1000 sizes a second with two decimals: ``1.50KB/sec``; empty for none."""
+    return F.coalesce(F.concat(_in_units(x, 2, ""), F.lit("/sec")), F.lit(""))
+
+
+def encoded_entry(key: Column, seq: Column, expires: Column, meta: Column, value: Column) -> Column:
+    """A log entry's bytes, big-endian: key length (4, with the version), internal key, expiry (8), meta (4), value length (4), value."""
+    number = lambda x, size: F.unhex(F.lpad(F.hex(x), 2 * size, "0"))
+    inner, data = internal_key(key, seq), value.cast("binary")
+    return F.concat(number(F.octet_length(inner), 4), inner, number(expires, 8), number(meta, 4), number(F.octet_length(data), 4), data)
+
+
+def decoded_entry(entry: Column) -> Column:
+    """(user_key, seq, expires_at, meta, value) of an entry's bytes."""
+    number = lambda at, size: F.conv(F.hex(F.substring(entry, at, F.lit(size))), 16, 10).cast("long")
+    n = number(F.lit(1), 4)
+    key = split_internal_key(F.substring(entry, F.lit(5), n))
+    value = F.substring(entry, n + 21, number(n + 17, 4))
+    return F.struct(key["user_key"].alias("user_key"), key["seq"].alias("seq"), number(n + 5, 8).alias("expires_at"), number(n + 13, 4).alias("meta"), value.alias("value"))
+
+
+def shared_prefix(a: Column, b: Column) -> Column:
+    """Characters that both texts begin with."""
+    same = F.filter(F.sequence(F.lit(0), F.least(F.length(a), F.length(b))), lambda i: F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i))
+    return F.array_max(same)
+
+
 def replication(text: Column) -> Column:
     """(data, parity) of ``3`` or ``2+1``."""
     parts = F.transform(F.split(text, r"\+"), lambda x: F.trim(x))

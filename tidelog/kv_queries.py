@@ -21,7 +21,7 @@ ORACLES: dict[str, str] = {}
 
 _ENTRY = "28 + strlen(user_key) + strlen(value)"
 KV = f"""kv AS (SELECT *, {_ENTRY} AS entry_size, NOT is_delete AND strlen(value) > 4096 AS is_vp, strlen(value) AS val_len FROM (
-  SELECT event_id + 1 AS seq, 'u' || lpad(CAST(user_id AS VARCHAR), 4, '0') || '/' || CAST(event_id % 8 AS VARCHAR) AS user_key, event_type = 'error' AS is_delete,
+  SELECT event_id + 1 AS seq, 'u' || lpad(CAST(user_id AS VARCHAR), CAST(greatest(4, length(CAST(user_id AS VARCHAR))) AS INTEGER), '0') || '/' || CAST(event_id % 8 AS VARCHAR) AS user_key, event_type = 'error' AS is_delete,
   CASE WHEN event_type = 'view' THEN event_id + 4001 ELSE 0 END AS expires_at, CASE WHEN event_type = 'error' THEN '' ELSE event_type || ':' || props END AS value, event_id // 1000 AS extent_id FROM events)),
  top AS (SELECT * FROM kv QUALIFY row_number() OVER (PARTITION BY user_key ORDER BY seq DESC) = 1),
  live AS (SELECT * FROM top WHERE NOT is_delete AND NOT (expires_at > 0 AND expires_at <= {NOW})),
@@ -39,7 +39,7 @@ CATALOG = """regions AS (SELECT * FROM (VALUES (1::BIGINT, '', 'u0050', 1::BIGIN
  disks AS (SELECT s_suppkey AS node_id, s_suppkey * 2 + k AS disk_id, (s_suppkey + k) % 5 <> 0 AS "online", 1000 + s_suppkey AS total, 500 + k AS free FROM supplier, (VALUES (0), (1)) t(k)),
  extents AS (SELECT p_partkey AS extent_id, p_partkey % (SELECT count(*) FROM supplier) + 1 AS n1, (p_partkey * 7 + 3) % (SELECT count(*) FROM supplier) + 1 AS n2, (p_partkey * 3 + 1) % (SELECT count(*) FROM supplier) + 1 AS n3, p_size % 8 AS avali, CASE WHEN p_size % 2 = 0 THEN p_size * 1000 ELSE 0 END AS sealed_length FROM part),
  slots AS (SELECT extent_id, avali, sealed_length, n1, n2, n3, slot, CASE slot WHEN 0 THEN n1 WHEN 1 THEN n2 ELSE n3 END AS node_id FROM extents, (VALUES (0), (1), (2)) t(slot)),
- members AS (SELECT DISTINCT l_orderkey % 500 AS stream_id, l_partkey AS extent_id FROM lineitem WHERE l_orderkey <= 4000)"""
+ members AS (SELECT DISTINCT l_orderkey % 500 AS stream_id, l_partkey AS extent_id FROM lineitem)"""
 
 
 def query(name: str, sql: str = ""):
@@ -77,9 +77,9 @@ def disks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def extents(spark: SparkSession, d: str) -> DataFrame:
-    n = spark.read.parquet(f"{d}/supplier.parquet").count()
-    p = F.col("p_partkey")
-    return spark.read.parquet(f"{d}/part.parquet").select(p.alias("extent_id"), F.array(p % n + 1, (p * 7 + 3) % n + 1).alias("replicates"), F.array((p * 3 + 1) % n + 1).alias("parity"), (F.col("p_size") % 8).cast("long").alias("avali"), F.when(F.col("p_size") % 2 == 0, F.col("p_size") * 1000).otherwise(0).cast("long").alias("sealed_length"))
+    suppliers = spark.read.parquet(f"{d}/supplier.parquet").agg(F.count("*").alias("suppliers"))  # one row
+    p, n = F.col("p_partkey"), F.col("suppliers")
+    return spark.read.parquet(f"{d}/part.parquet").crossJoin(F.broadcast(suppliers)).select(p.alias("extent_id"), F.array(p % n + 1, (p * 7 + 3) % n + 1).alias("replicates"), F.array((p * 3 + 1) % n + 1).alias("parity"), (F.col("p_size") % 8).cast("long").alias("avali"), F.when(F.col("p_size") % 2 == 0, F.col("p_size") * 1000).otherwise(0).cast("long").alias("sealed_length"))
 
 
 def streams(spark: SparkSession, d: str) -> DataFrame:
@@ -100,8 +100,8 @@ query("kv_seek_ge", f"WITH {KV} SELECT user_key FROM kv WHERE user_key >= 'u0040
 query("kv_seek_le", f"WITH {KV} SELECT user_key FROM kv WHERE user_key <= 'u0040/9' ORDER BY user_key DESC LIMIT 1")(lambda s, d: sn.seek(kv(s, d), "u0040/9", False))
 query("kv_first_last", f"WITH {KV} SELECT min(user_key) AS first_key, max(user_key) AS last_key FROM kv")(lambda s, d: kv(s, d).agg(F.min("user_key").alias("first_key"), F.max("user_key").alias("last_key")))
 query("kv_reverse_scan", f"WITH {KV} SELECT user_key FROM live ORDER BY user_key DESC LIMIT 30")(lambda s, d: sn.live(kv(s, d), NOW).select("user_key").orderBy(F.desc("user_key")).limit(30))
-query("kv_delete_found", f"WITH {KV}, r AS (SELECT DISTINCT 'u' || lpad(CAST(c_custkey AS VARCHAR), 4, '0') || '/' || CAST(c_custkey % 8 AS VARCHAR) AS user_key FROM customer WHERE c_custkey < 9000), h AS (SELECT r.user_key FROM r JOIN top USING (user_key) WHERE NOT is_delete) SELECT user_key, (SELECT max(seq) FROM kv) + row_number() OVER (ORDER BY user_key) AS seq FROM h")(lambda s, d: sn.deletes(kv(s, d), _requests(s, d), kv(s, d).agg(F.max("seq")).first()[0])[0].select("user_key", "seq"))
-query("kv_delete_missing", f"WITH {KV}, r AS (SELECT DISTINCT 'u' || lpad(CAST(c_custkey AS VARCHAR), 4, '0') || '/' || CAST(c_custkey % 8 AS VARCHAR) AS user_key FROM customer WHERE c_custkey < 9000) SELECT user_key FROM r WHERE user_key NOT IN (SELECT user_key FROM top WHERE NOT is_delete)")(lambda s, d: sn.deletes(kv(s, d), _requests(s, d), 0)[1])
+query("kv_delete_found", f"WITH {KV}, r AS (SELECT DISTINCT 'u' || lpad(CAST(c_custkey AS VARCHAR), CAST(greatest(4, length(CAST(c_custkey AS VARCHAR))) AS INTEGER), '0') || '/' || CAST(c_custkey % 8 AS VARCHAR) AS user_key FROM customer), h AS (SELECT r.user_key FROM r JOIN top USING (user_key) WHERE NOT is_delete) SELECT user_key, (SELECT max(seq) FROM kv) + row_number() OVER (ORDER BY user_key) AS seq FROM h")(lambda s, d: sn.deletes(kv(s, d), _requests(s, d), kv(s, d).agg(F.max("seq")).first()[0])[0].select("user_key", "seq"))
+query("kv_delete_missing", f"WITH {KV}, r AS (SELECT DISTINCT 'u' || lpad(CAST(c_custkey AS VARCHAR), CAST(greatest(4, length(CAST(c_custkey AS VARCHAR))) AS INTEGER), '0') || '/' || CAST(c_custkey % 8 AS VARCHAR) AS user_key FROM customer) SELECT user_key FROM r WHERE user_key NOT IN (SELECT user_key FROM top WHERE NOT is_delete)")(lambda s, d: sn.deletes(kv(s, d), _requests(s, d), 0)[1])
 
 
 def _requests(s: SparkSession, d: str) -> DataFrame:
@@ -135,7 +135,7 @@ def _merged(s: SparkSession, d: str) -> DataFrame:
     return sn.merge(runs, ["k"], "p")
 
 
-query("concat_runs", "SELECT event_id AS p FROM events WHERE event_id < 2000 UNION ALL SELECT event_id FROM events WHERE event_id >= 5000")(lambda s, d: s.read.parquet(f"{d}/events.parquet").where("event_id < 2000").select(F.col("event_id").alias("p")).unionAll(s.read.parquet(f"{d}/events.parquet").where("event_id >= 2000").select("event_id")))
+query("concat_runs", "SELECT event_id AS p FROM events WHERE event_id < 2000 UNION ALL SELECT event_id FROM events WHERE event_id >= 2000")(lambda s, d: s.read.parquet(f"{d}/events.parquet").where("event_id < 2000").select(F.col("event_id").alias("p")).unionAll(s.read.parquet(f"{d}/events.parquet").where("event_id >= 2000").select("event_id")))
 
 # Replay and block reads.
 query("log_replay", f"WITH {KV} SELECT extent_id, seq, user_key FROM off WHERE (extent_id > 7 OR (extent_id = 7 AND \"offset\" >= 20000)) AND user_key >= 'u0050' AND user_key < 'u0100'")(lambda s, d: lg.replay(lg.placed(kv(s, d)), 7, 20000, "u0050", "u0100").select("extent_id", "seq", "user_key"))
@@ -198,16 +198,39 @@ def _tables(s: SparkSession, d: str) -> DataFrame:
 
 query("table_key_filter", f"WITH {_TABLES} SELECT extent_id, last_seq FROM tables WHERE smallest <= 'u0001/1' AND biggest >= 'u0001/1' ORDER BY last_seq DESC")(lambda s, d: _tables(s, d).where("smallest <= 'u0001/1' and biggest >= 'u0001/1'").select("extent_id", "last_seq").orderBy(F.desc("last_seq")))
 query("biggest_table", f"WITH {_TABLES} SELECT part_id, extent_id, estimated_size FROM tables QUALIFY row_number() OVER (PARTITION BY part_id ORDER BY estimated_size DESC, extent_id) = 1")(lambda s, d: cat.biggest_table(_tables(s, d)).select("part_id", "extent_id", "estimated_size"))
-query("compaction_pick", f"WITH {_TABLES}, o AS (SELECT *, min(extent_id) OVER () AS f, sum(estimated_size) OVER () AS al FROM tables), h AS (SELECT *, sum(CASE WHEN extent_id = f THEN estimated_size ELSE 0 END) OVER () AS hd FROM o) SELECT extent_id, last_seq FROM h WHERE hd * 10 < al * 3 AND last_seq = (SELECT min(last_seq) FROM h WHERE extent_id = f)")(lambda s, d: picks.head_extent_pick(_tables(s, d)).select("extent_id", "last_seq"))
 query("manifest_after_compaction", f"WITH {_TABLES} SELECT extent_id, last_seq FROM tables WHERE extent_id NOT IN (1, 2) UNION ALL SELECT 1000, max(last_seq) FROM tables WHERE extent_id IN (1, 2)")(lambda s, d: cat.manifest(_tables(s, d).select("extent_id", "last_seq"), F.col("extent_id").isin(1, 2), _tables(s, d).where("extent_id in (1, 2)").agg(F.max("last_seq").alias("last_seq")).select(F.lit(1000).cast("long").alias("extent_id"), "last_seq")))
-query("order_violations", "SELECT CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS user_key WHERE false")(lambda s, d: sn.order_violations(kv(s, d).join(_tables(s, d).select("extent_id", "last_seq"), "extent_id").select("last_seq", "user_key", "seq")).select("seq", "user_key"))
+_SWAPPED = "CASE extent_id % 3 WHEN 0 THEN extent_id + 1 WHEN 1 THEN extent_id - 1 ELSE extent_id END"
+query(
+    "order_violations",
+    f"WITH {KV}, r AS (SELECT {_SWAPPED} AS last_seq, user_key, seq FROM kv), "
+    "o AS (SELECT *, max(seq) OVER (PARTITION BY user_key ORDER BY last_seq, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM r) SELECT seq, user_key FROM o WHERE seq < b",
+)(lambda s, d: sn.order_violations(kv(s, d).select(F.expr(_SWAPPED).alias("last_seq"), "user_key", "seq")).select("seq", "user_key"))
+query("order_kept", f"WITH {_TABLES} SELECT seq, user_key FROM kv WHERE false")(
+    lambda s, d: sn.order_violations(kv(s, d).join(_tables(s, d).select("extent_id", "last_seq"), "extent_id").select("last_seq", "user_key", "seq")).select("seq", "user_key")
+)
 
 # Partitions.
 query("hex_presplit", "SELECT i AS part_id, CASE WHEN i = 0 THEN '' ELSE lower(lpad(hex(i * (4294967295 // 7)), 8, '0')) END AS start_key, CASE WHEN i = 6 THEN '' ELSE lower(lpad(hex((i + 1) * (4294967295 // 7)), 8, '0')) END AS end_key FROM range(7) t(i)")(lambda s, d: cat.hex_splits(s, 7))
 query("presplit_route", f"WITH {KV}, h AS (SELECT DISTINCT substr(md5(user_key), 1, 8) AS h FROM kv) SELECT CAST(least(3, CAST('0x' || h AS BIGINT) // 1073741823) AS BIGINT) AS part_id, count(*) AS n FROM h GROUP BY 1")(lambda s, d: cat.route(kv(s, d).select(F.substring(F.md5("user_key"), 1, 8).alias("h")).distinct(), cat.hex_splits(s, 4), "h").groupBy("part_id").agg(F.count("*").alias("n")))
 query("region_lookup", f"WITH {KV}, {CATALOG} SELECT part_id, count(*) AS n, min(user_key) AS lo, max(user_key) AS hi FROM kv JOIN regions ON user_key >= start_key AND (end_key = '' OR user_key < end_key) GROUP BY part_id")(lambda s, d: cat.route(kv(s, d), regions(s)).groupBy("part_id").agg(F.count("*").alias("n"), F.min("user_key").alias("lo"), F.max("user_key").alias("hi")))
-query("region_gaps", "SELECT 2::BIGINT AS part_id, 'u0100' AS end_key, 'u0120' AS next_start")(lambda s, d: cat.gaps(s.createDataFrame([(1, "", "u0050"), (2, "u0050", "u0100"), (3, "u0120", "")], "part_id long, start_key string, end_key string")).select("part_id", "end_key", "next_start"))
-query("overlap_detection", f"WITH {_TABLES} SELECT part_id, max(CASE WHEN smallest >= 'u0003' AND biggest >= 'u0003' THEN 0 ELSE 1 END) = 1 AS overlap FROM tables WHERE part_id = 0 GROUP BY part_id")(lambda s, d: cat.overlapping(_tables(s, d), _tables(s, d).select("part_id", F.lit("u0003").alias("start_key"), F.lit("").alias("end_key")).distinct()))
+_HOLED = (
+    "SELECT n_nationkey AS part_id, CASE WHEN n_nationkey = 0 THEN '' ELSE lpad(CAST(n_nationkey * 10 AS VARCHAR), 4, '0') END AS start_key, "
+    "CASE WHEN n_nationkey = 24 THEN '' ELSE lpad(CAST(n_nationkey * 10 + 10 + CASE WHEN n_regionkey = 2 THEN 3 ELSE 0 END AS VARCHAR), 4, '0') END AS end_key FROM nation"
+)
+
+
+def _holed(s: SparkSession, d: str) -> DataFrame:
+    n = F.col("n_nationkey")
+    start = F.when(n == 0, "").otherwise(F.lpad((n * 10).cast("string"), 4, "0"))
+    end = F.when(n == 24, "").otherwise(F.lpad((n * 10 + 10 + F.when(F.col("n_regionkey") == 2, 3).otherwise(0)).cast("string"), 4, "0"))
+    return s.read.parquet(f"{d}/nation.parquet").select(n.alias("part_id"), start.alias("start_key"), end.alias("end_key"))
+
+
+query(
+    "region_gaps",
+    f"WITH r AS ({_HOLED}), l AS (SELECT *, coalesce(lead(start_key) OVER (ORDER BY start_key), '') AS next_start FROM r) SELECT part_id, end_key, next_start FROM l WHERE end_key <> next_start",
+)(lambda s, d: cat.gaps(_holed(s, d)).select("part_id", "end_key", "next_start"))
+query("overlap_detection", f"WITH {_TABLES} SELECT part_id, max(CASE WHEN smallest >= 'u0003' AND biggest >= 'u0003' THEN 0 ELSE 1 END) = 1 AS overlap FROM tables GROUP BY part_id")(lambda s, d: cat.overlapping(_tables(s, d), _tables(s, d).select("part_id", F.lit("u0003").alias("start_key"), F.lit("").alias("end_key")).distinct()))
 query("split_point", f"WITH {BLOB}, b AS (SELECT extent_id FROM kv GROUP BY extent_id ORDER BY sum(entry_size) DESC, extent_id LIMIT 1), k AS (SELECT DISTINCT user_key FROM kv JOIN b USING (extent_id)), n AS (SELECT user_key, ntile(8) OVER (ORDER BY user_key) AS t FROM k) SELECT min(user_key) AS mid_key FROM n WHERE t = 5")(lambda s, d: cat.split_point(blob(s, d).join(_sizes(s, d).orderBy(F.desc("size"), "extent_id").limit(1), "extent_id", "left_semi"), 8))
 query("split_regions", f"WITH {CATALOG} SELECT part_id, start_key, CASE WHEN part_id = 2 THEN 'u0077' ELSE end_key END AS end_key FROM regions UNION ALL SELECT 4, 'u0077', end_key FROM regions WHERE part_id = 2")(lambda s, d: cat.split_regions(regions(s).drop("ps_id"), 2, "u0077", 4))
 query("prefix_presplit", "WITH s AS (SELECT DISTINCT r_name || x AS start_key FROM region, (VALUES ('3'), ('7')) t(x)) SELECT CASE WHEN row_number() OVER (ORDER BY start_key) = 1 THEN '' ELSE start_key END AS start_key, coalesce(lead(start_key) OVER (ORDER BY start_key), '') AS end_key FROM s")(lambda s, d: cat.prefix_splits(s.read.parquet(f"{d}/region.parquet").select(F.col("r_name").alias("prefix")), s.createDataFrame([("3",), ("7",)], "suffix string")))
@@ -231,11 +254,27 @@ query("allocated_ids", "SELECT s_suppkey, 100 + row_number() OVER (ORDER BY s_su
 
 # Scalars.
 query("internal_keys", f"WITH {KV} SELECT seq, hex(encode(user_key)) || lower(lpad(hex(18446744073709551615::UBIGINT - seq::UBIGINT), 16, '0')) AS k FROM kv")(lambda s, d: kv(s, d).select("seq", F.concat(F.hex("user_key"), F.lower(F.substring(F.hex(C.internal_key(F.col("user_key"), F.col("seq"))), -16, 16))).alias("k")))
-query("varint_sizes", "SELECT event_id, CAST(CASE WHEN event_id * event_id * 1000 < 128 THEN 1 WHEN event_id * event_id * 1000 < 16384 THEN 2 WHEN event_id * event_id * 1000 < 2097152 THEN 3 WHEN event_id * event_id * 1000 < 268435456 THEN 4 WHEN event_id * event_id * 1000 < 34359738368 THEN 5 ELSE 6 END AS BIGINT) AS n FROM events WHERE event_id < 60000")(lambda s, d: s.read.parquet(f"{d}/events.parquet").where("event_id < 60000").select("event_id", C.varint_size(F.col("event_id") * F.col("event_id") * 1000).alias("n")))
+query("varint_sizes", "SELECT event_id, CAST(CASE WHEN event_id * event_id * 1000 < 128 THEN 1 WHEN event_id * event_id * 1000 < 16384 THEN 2 WHEN event_id * event_id * 1000 < 2097152 THEN 3 WHEN event_id * event_id * 1000 < 268435456 THEN 4 WHEN event_id * event_id * 1000 < 34359738368 THEN 5 WHEN event_id * event_id * 1000 < 4398046511104 THEN 6 WHEN event_id * event_id * 1000 < 562949953421312 THEN 7 ELSE 8 END AS BIGINT) AS n FROM events")(lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", C.varint_size(F.col("event_id") * F.col("event_id") * 1000).alias("n")))
 query("alignment", "SELECT event_id, (event_id + 511) // 512 * 512 AS up, event_id // 512 * 512 AS down FROM events")(lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", C.align_up(F.col("event_id"), 512).alias("up"), C.align_down(F.col("event_id"), 512).alias("down")))
 query("replication_parse", "SELECT * FROM (VALUES ('3', 3, 0), ('2+1', 2, 1), (' 6 + 3 ', 6, 3)) t(x, data, parity)")(lambda s, d: s.createDataFrame([("3",), ("2+1",), (" 6 + 3 ",)], "x string").select("x", C.replication(F.col("x")).alias("r")).select("x", "r.*"))
 query("shard_geometry", "SELECT doc_id, greatest(4, (coalesce(strlen(text), 0) + 9) // 6) AS per_shard FROM documents")(lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", C.shard_bytes(F.coalesce(F.octet_length("text"), F.lit(0)), 6).alias("per_shard")))
-query("human_sizes", "SELECT p_partkey, CASE WHEN n >= 1000000 THEN CAST(CAST(round(n / 1000000.0, 1) AS DECIMAL(20, 1)) AS VARCHAR) || ' MB' WHEN n >= 1000 THEN CAST(CAST(round(n / 1000.0, 1) AS DECIMAL(20, 1)) AS VARCHAR) || ' kB' ELSE CAST(n AS VARCHAR) || ' B' END AS h FROM (SELECT p_partkey, p_partkey * p_partkey * 20 AS n FROM part WHERE p_partkey < 5000)")(lambda s, d: s.read.parquet(f"{d}/part.parquet").where("p_partkey < 5000").select("p_partkey", C.human_size(F.col("p_partkey") * F.col("p_partkey") * 20).alias("h")))
+_UNITS = (("EB", 18), ("PB", 15), ("TB", 12), ("GB", 9), ("MB", 6), ("KB", 3), ("B", 0))
+
+
+def _human_sql(n: str, places: int, glue: str) -> str:
+    """The value in the largest unit that it reaches."""
+    each = (f"WHEN {n} >= 1e{k} THEN CAST(CAST(round({n} / 1e{k}, {places}) AS DECIMAL(20, {places})) AS VARCHAR) || '{glue}{u}'" for u, k in _UNITS)
+    return "CASE " + " ".join(each) + " END"
+
+
+query(
+    "human_sizes",
+    f"SELECT p_partkey, coalesce({_human_sql('n', 1, ' ')}, '0B') AS h FROM (SELECT p_partkey, (p_partkey - 1) * p_partkey * p_partkey AS n FROM part)",
+)(lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", C.human_size((F.col("p_partkey") - 1) * F.col("p_partkey") * F.col("p_partkey")).alias("h")))
+query(
+    "human_throughputs",
+    f"SELECT p_partkey, coalesce({_human_sql('n', 2, '')} || '/sec', '') AS h FROM (SELECT p_partkey, (p_partkey - 1) * 1000003 AS n FROM part)",
+)(lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", C.human_throughput((F.col("p_partkey") - 1) * 1000003).alias("h")))
 
 # Objects, indexes, summaries.
 CHUNK = 4096
@@ -265,15 +304,29 @@ def _ops(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(f"{d}/events.parquet").select(F.round(F.col("value") * 1000).cast("long").alias("micros"), F.lit(100).alias("bytes"))
 
 
-# What SQL cannot express.
-@query("value_checksums")
+# Integrity.
+_BYTE = "('0x' || substr(hex(encode(value)), CAST(2 * i + 1 AS BIGINT), 2))::BIGINT"
+
+
+@query(
+    "value_checksums",
+    f"""WITH RECURSIVE {KV}, bits(b, k, c) AS (SELECT i, 0, i::BIGINT FROM range(256) t(i) UNION ALL SELECT b, k + 1, xor(c >> 1, 2197175160 * (c & 1)) FROM bits WHERE k < 8),
+ crc_table AS (SELECT list(c ORDER BY b) AS t FROM bits WHERE k = 8),
+ sums AS (SELECT seq, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(strlen(value)), lambda i: {_BYTE})), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8))) AS s FROM kv, crc_table)
+ SELECT seq, CAST(((s >> 15) + ((s & 32767) << 17) + 2726488792) & 4294967295 AS BIGINT) AS crc FROM sums""",
+)
 def _checksums(s: SparkSession, d: str) -> DataFrame:
     from .functions.integrity import masked_crc32c
 
     return kv(s, d).select("seq", masked_crc32c(F.col("value").cast("binary")).alias("crc"))
 
 
-@query("record_ends")
+@query(
+    "record_ends",
+    f"""WITH {BLOB}, p AS (SELECT seq, entry_size AS n, sum(entry_size) OVER (PARTITION BY extent_id ORDER BY seq) - entry_size AS o FROM kv),
+ a AS (SELECT seq, n, CASE WHEN 131072 - o % 131072 < 9 THEN o + 131072 - o % 131072 ELSE o END AS o FROM p), r AS (SELECT *, 131072 - o % 131072 - 9 AS room FROM a)
+ SELECT seq, CAST(CASE WHEN n <= room THEN o + 9 + n ELSE o + 9 + room + (n - room - 1) // 131063 * 131072 + 9 + (n - room - 1) % 131063 + 1 END AS BIGINT) AS record_end FROM r""",
+)
 def _record_ends(s: SparkSession, d: str) -> DataFrame:
     from .functions.integrity import record_ends
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codec import dead, in_range
+from ..sources.numbering import numbered
 from .snapshot import latest
 
 MOST_EXTENTS = 3
@@ -65,7 +66,7 @@ def gc_moves(log: DataFrame, extents: Column, now: int, start: str = "", end: st
     """Current large values in the chosen extents, to be written again with new sequence numbers."""
     top = log.agg(F.max("seq").alias("top"))
     current = latest(log.where(in_range(F.col("user_key"), start, end))).where(extents & F.col("is_vp") & ~dead(now))
-    moved = current.withColumn("_n", F.row_number().over(Window.orderBy("seq")).cast("long"))
+    moved = numbered(current, ["seq"], "_n", 1)
     return moved.crossJoin(F.broadcast(top)).withColumn("new_seq", F.col("top") + F.col("_n")).drop("_n", "top")  # one row
 
 

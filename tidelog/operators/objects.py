@@ -67,3 +67,23 @@ def bench_keys(spark, threads: int, each: int) -> DataFrame:
     i = F.col("id")
     t, j = F.floor(i / each), i % each
     return spark.range(threads * each).select(F.concat(F.lit("test"), i.cast("string"), F.lit("_"), t.cast("string"), F.lit("_"), j.cast("string")).alias("user_key"), t.alias("thread"))
+
+
+def deleted_objects(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """The chunk and meta rows (user_key, name, ...) left after the named objects (name) are deleted."""
+    return rows.join(names.select("name").distinct(), "name", "left_anti")
+
+
+def reindexed(ix: DataFrame, updates: DataFrame, key: str = "user_key") -> DataFrame:
+    """An index after updates (key, values array; null values delete): a key's old entries go, its new ones come."""
+    kept = ix.join(updates.select(key), key, "left_anti")
+    return kept.select("index_value", key).unionByName(updates.select(F.explode("values").alias("index_value"), key)).distinct()
+
+
+def summary(ops: DataFrame, threads: int, size: int, seconds: float) -> DataFrame:
+    """The write benchmark's summary: one row with requests, bytes and throughput in readable units, and latencies."""
+    from ..functions.codec import human_size, human_throughput
+
+    one = latency(ops)
+    rate = F.round(F.col("n") / F.lit(float(seconds)), 2)
+    return one.select(F.lit(threads).alias("threads"), F.lit(size).alias("size"), F.lit(float(seconds)).alias("seconds"), F.col("n").alias("requests"), human_size(F.col("bytes")).alias("transferred"), rate.alias("per_second"), human_throughput(F.col("bytes") / F.lit(float(seconds))).alias("throughput"), "p50", "p95", "p99")

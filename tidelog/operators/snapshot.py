@@ -28,13 +28,13 @@ def live(log: DataFrame, now: int) -> DataFrame:
     return latest(log).where(~dead(now))
 
 
-def merge(runs: list[DataFrame], keys: list[str], within: str | None = None) -> DataFrame:
-    """Runs in order of priority, merged: of equal keys the earliest run's first row stays."""
+def merge(runs: list[DataFrame], keys: list[str], within: str | None = None, reverse: bool = False) -> DataFrame:
+    """Runs in order of priority, merged: of equal keys the earliest run's first row stays (its last one, in reverse)."""
     out = None
     for k, run in enumerate(runs):
         one = run.withColumn("_src", F.lit(k))
         out = one if out is None else out.unionByName(one)
-    order = [F.col("_src"), *([F.col(within)] if within else [])]
+    order = [F.col("_src"), *([F.desc(within) if reverse else F.col(within)] if within else [])]
     w = Window.partitionBy(*keys).orderBy(*order)
     return out.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_src")
 
@@ -45,6 +45,32 @@ def get(log: DataFrame, key: str, honor_ttl: bool = False, now: int = 0) -> Data
     return one.where(~dead(now) if honor_ttl else ~F.col("is_delete"))
 
 
+def overwritten(batches: list[DataFrame]) -> DataFrame:
+    """Batches of writes in order: of rows with the same key and sequence number the last batch's stays."""
+    return merge(batches[::-1], ["user_key", "seq"])
+
+
+def head_of(log: DataFrame, key: str, honor_ttl: bool = False, now: int = 0) -> DataFrame:
+    """(user_key, val_len) of one key."""
+    return head(log.where(F.col("user_key") == key), honor_ttl, now)
+
+
+def range_walk(log: DataFrame, regions: DataFrame, prefix: str, start: str, limit: int, now: int) -> tuple[DataFrame, DataFrame]:
+    """(keys, more): keys from ``start`` on, region by region: the first is the one that may hold the start, and the walk ends
+    before a region that doesn't begin with the prefix, or at the limit. more is (n, more), true if the limit was reached."""
+    ahead = regions.where((F.col("end_key") == "") | (F.col("end_key") > start)).orderBy("start_key")
+    known = [tuple(r) for r in ahead.where(has_prefix(F.col("start_key"), prefix) | (F.col("start_key") <= start)).select("start_key", "end_key").collect()]
+    if not known:
+        raise ValueError("the start is in no region")
+    end = known[0][1]
+    for begin, until in known[1:]:
+        if begin != end or not begin.startswith(prefix):
+            break
+        end = until
+    keys = scan(log, prefix, start, end, now).select("user_key").orderBy("user_key").limit(limit)
+    return keys, truncated(keys, limit).select("n", F.col("truncated").alias("more"))
+
+
 def head(log: DataFrame, honor_ttl: bool = False, now: int = 0) -> DataFrame:
     """(user_key, val_len) without reading values."""
     top = latest(log.select("user_key", "seq", "is_delete", "expires_at", "val_len"))
@@ -81,9 +107,14 @@ def seek(log: DataFrame, key: str, forward: bool = True) -> DataFrame:
 
 def as_of_join(probes: DataFrame, log: DataFrame) -> DataFrame:
     """For probes (user_key, version): the newest version at or before, if not deleted."""
-    at = probes.join(log, "user_key").where(F.col("seq") <= F.col("version"))
-    w = Window.partitionBy("user_key", "version").orderBy(F.desc("seq"))
-    return at.withColumn("_rn", F.row_number().over(w)).where("_rn = 1 and not is_delete").drop("_rn")
+    rest = [c for c in log.columns if c != "user_key"]
+    versions = log.select("user_key", F.col("seq").alias("_at"), F.lit(0).alias("_probe"), F.struct(*rest).alias("_row"))
+    asked = probes.select("user_key", F.col("version").cast("long").alias("_at"), F.lit(1).alias("_probe"))
+    # A key's versions and probes are sorted once together: each probe takes the last version before it.
+    w = Window.partitionBy("user_key").orderBy("_at", "_probe").rowsBetween(Window.unboundedPreceding, 0)
+    both = versions.unionByName(asked, allowMissingColumns=True).withColumn("_row", F.last("_row", True).over(w))
+    found = both.where("_probe = 1 and _row is not null").select("user_key", F.col("_at").cast(probes.schema["version"].dataType).alias("version"), "_row.*")
+    return found.where(~F.col("is_delete"))
 
 
 def deletes(log: DataFrame, requests: DataFrame, last_seq: int) -> tuple[DataFrame, DataFrame]:

@@ -22,11 +22,17 @@ def _log(rows: DataFrame) -> DataFrame:
     return rows.select("seq", "user_key", "is_delete", (~F.col("is_delete") & (size > INLINE_BYTES)).alias("is_vp"), "expires_at", "value", size.alias("val_len"), entry_size(F.col("user_key"), F.col("value")).alias("entry_size"), "extent_id")
 
 
+def wide(number: Column, least: int = 4) -> Column:
+    """The number in text with leading zeros, ``least`` digits or more; none is cut off."""
+    text = number.cast("string")
+    return F.lpad(text, F.greatest(F.lit(least), F.length(text)), F.lit("0"))
+
+
 def kv_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The small-value log of the events table."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     deleted = F.coalesce(F.col("event_type") == "error", F.lit(False))
-    return _log(e.select((F.col("event_id") + 1).alias("seq"), F.concat(F.lit("u"), F.lpad(F.col("user_id").cast("string"), 4, "0"), F.lit("/"), (F.col("event_id") % 8).cast("string")).alias("user_key"), deleted.alias("is_delete"), F.when(F.col("event_type") == "view", F.col("event_id") + 4001).otherwise(F.lit(0)).cast("long").alias("expires_at"), F.when(deleted, "").otherwise(F.concat("event_type", F.lit(":"), "props")).alias("value"), F.floor(F.col("event_id") / 1000).alias("extent_id")))
+    return _log(e.select((F.col("event_id") + 1).alias("seq"), F.concat(F.lit("u"), wide(F.col("user_id")), F.lit("/"), (F.col("event_id") % 8).cast("string")).alias("user_key"), deleted.alias("is_delete"), F.when(F.col("event_type") == "view", F.col("event_id") + 4001).otherwise(F.lit(0)).cast("long").alias("expires_at"), F.when(deleted, "").otherwise(F.concat("event_type", F.lit(":"), "props")).alias("value"), F.floor(F.col("event_id") / 1000).alias("extent_id")))
 
 
 def kv_blob_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,8 +55,10 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stamped(writes: DataFrame, last_seq: int, order: list[str]) -> DataFrame:
-    """New sequence numbers after ``last_seq`` in the given order; one batch of writes."""
-    return writes.withColumn("seq", F.lit(last_seq) + F.row_number().over(Window.orderBy(*order)).cast("long"))
+    """New sequence numbers after ``last_seq`` in the given order."""
+    from .numbering import numbered
+
+    return numbered(writes, order, "seq", last_seq + 1)
 
 
 def replay(log: DataFrame, extent: int, offset: int, start: str = "", end: str = "") -> DataFrame:
@@ -61,6 +69,11 @@ def replay(log: DataFrame, extent: int, offset: int, start: str = "", end: str =
     return log.where(after & in_range(F.col("user_key"), start, end))
 
 
+def replay_log(log: DataFrame, extent: int, offset: int, start: str = "", end: str = "") -> DataFrame:
+    """Replay of a log without stored offsets: only extents from the place on are numbered through."""
+    return replay(placed(log.where(F.col("extent_id") >= extent)), extent, offset, start, end)
+
+
 def bounded(log: DataFrame, extents: DataFrame, most: int, start_pos: int = 0) -> DataFrame:
     """Entries of at most ``most`` extents of a stream from a position on; extents has (pos, extent_id)."""
     return log.join(extents.where((F.col("pos") >= start_pos) & (F.col("pos") < start_pos + most)).select("extent_id"), "extent_id", "left_semi")

@@ -28,23 +28,27 @@ def maintain(stream: DataFrame, table: str, checkpoint: str):
 
 
 def newest_generation(spark: SparkSession, table: str) -> DataFrame:
-    whole = spark.read.option("basePath", table).parquet(table)
-    top = whole.agg(F.max("generation")).first()[0]
-    return spark.read.schema(LOG_SCHEMA).parquet(f"{table}/generation={top}")
+    """The newest generation that was written to its end."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table}/generation=*/_SUCCESS")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    done = [int(x.getPath().getParent().getName().partition("=")[2]) for x in found]
+    if not done:
+        raise ValueError("no generation was written to its end")
+    return spark.read.schema(LOG_SCHEMA).parquet(f"{table}/generation={max(done)}")
 
 
 def changes(stream: DataFrame):
-    """Watch events with the value before: (user_key, seq, kind, value, previous), by state of one value a key."""
+    """Watch events with the value before: (user_key, seq, kind, value, previous), by state of one value a key. A key's rows may
+    come in several batches: they are put in order together."""
     import pandas as pd
 
     def step(key, batches, state):
         previous = state.get[0] if state.exists else None
-        for pdf in batches:
-            for r in pdf.sort_values("seq").itertuples():
-                value = None if r.is_delete else r.value
-                yield pd.DataFrame({"user_key": [key[0]], "seq": [r.seq], "kind": ["DELETE" if r.is_delete else "PUT"], "value": [value], "previous": [previous]})
-                previous = value
-        state.update((previous,))
+        rows = pd.concat(list(batches), ignore_index=True).sort_values("seq", kind="stable")
+        value = [None if gone else x for gone, x in zip(rows["is_delete"], rows["value"])]
+        before = [previous, *value[:-1]]
+        state.update((value[-1],))
+        yield pd.DataFrame({"user_key": key[0], "seq": rows["seq"].tolist(), "kind": ["DELETE" if gone else "PUT" for gone in rows["is_delete"]], "value": value, "previous": before})
 
     out = "user_key string, seq long, kind string, value string, previous string"
     return stream.groupBy("user_key").applyInPandasWithState(step, out, "value string", "append", "NoTimeout")
