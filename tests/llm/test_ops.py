@@ -86,8 +86,9 @@ def test_ngram_query_uses_two_words_of_context(spark, tmp_path):
 
 def test_elias_fano(tmp_path):
     rng = np.random.default_rng(1)
-    for n, u in ((0, 10), (1, 1), (500, 10_000), (1000, 1 << 60)):
-        x = np.unique(rng.integers(0, u, n, dtype=np.uint64)) if n else np.zeros(0, np.uint64)
+    for n, u in ((0, 10), (1, 1), (500, 10_000), (1000, 1 << 60), (700, 700), (40_000, 200_000), (-900, 1 << 40)):
+        x = np.unique(rng.integers(0, u, n, dtype=np.uint64)) if n > 0 else np.arange(-n, dtype=np.uint64) + np.uint64(5)  # the last: all in one bucket
+        x = x[x < u]
         save(str(tmp_path / "f"), EliasFano.build(x, u))
         e = EliasFano(load(str(tmp_path / "f")))
         probe = np.concatenate([x, rng.integers(0, u, 200, dtype=np.uint64)])

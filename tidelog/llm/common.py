@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -67,8 +68,10 @@ def dropped(table: DataFrame) -> None:
 
 def freed(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of jobs whose frames are gone, which else stay until the driver's next collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round lets go, the second finds
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def remainder(column: str, by: int):

@@ -68,10 +68,20 @@ class EliasFano:
         """Index of the first element not below each value within the bucket of its high part, the bucket's end, low bits."""
         values = values.astype(np.uint64)
         high = (values >> np.uint64(self.low)).astype(np.int64)
-        end = self._select(self.zeros, True, high) - high
-        lo = np.zeros(len(values), np.int64)
+        at = np.zeros(len(values), np.int64)  # of the bucket's first bit, behind the zero that ends the one before
         on = high > 0
-        lo[on] = self._select(self.zeros, True, high[on] - 1) - (high[on] - 1)
+        at[on] = self._select(self.zeros, True, high[on] - 1) + 1
+        lo = at - high
+        # The bucket is as long as the run of ones from there.
+        word, shift = at >> 6, (at & 63).astype(np.uint64)
+        bits = self.high[word] >> shift
+        bits |= np.where(shift > 0, self.high[np.minimum(word + 1, len(self.high) - 1)] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
+        zero = ~bits
+        run = np.bitwise_count((zero & (~zero + np.uint64(1))) - np.uint64(1)).astype(np.int64)  # 64, if there is no zero
+        end = lo + run
+        more = np.flatnonzero(run == 64)
+        if len(more):
+            end[more] = self._select(self.zeros, True, high[more]) - high[more]
         low, hi = values & np.uint64((1 << self.low) - 1), end.copy()
         open_ = np.flatnonzero(lo < hi)
         while len(open_):  # halves

@@ -301,7 +301,9 @@ def _answers(hot: np.ndarray):
         words = np.zeros(0, np.int64)
         for k in range(0, len(messages), 16):
             some = [p[:3] + p[4:6] for p in map(parts, messages[k : k + 16])]
-            words = np.unique(np.concatenate([words, *(x[_starts(x)] if i in (0, 3) else x for p in some for i, x in enumerate(p))]))
+            words = np.concatenate([words, *(x[_starts(x)] if i in (0, 3) else x for p in some for i, x in enumerate(p))])
+            words.sort()
+            words = words[_starts(words)]
         is_hot = _known(words, hot)
         rank = lambda x: np.searchsorted(words, x).astype(np.int32)
         own, counts = [], []
