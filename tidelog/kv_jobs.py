@@ -87,7 +87,7 @@ def _gc_forced(s: SparkSession, d: str) -> DataFrame:
 @query(
     "store_gc_extents",
     f"WITH {BLOB} SELECT extent_id, count(*) AS n FROM kv WHERE NOT is_vp OR extent_id NOT IN (3, 7) GROUP BY extent_id "
-    "UNION ALL SELECT max(extent_id) + 1, count(*) FROM kv WHERE seq IN (SELECT seq FROM top WHERE is_vp AND extent_id IN (3, 7)) HAVING count(*) > 0",
+    "UNION ALL SELECT (SELECT max(extent_id) + 1 FROM kv), count(*) FROM kv WHERE seq IN (SELECT seq FROM top WHERE is_vp AND extent_id IN (3, 7)) HAVING count(*) > 0",
 )
 def _gc_extents(s: SparkSession, d: str) -> DataFrame:
     store = stored(s, blob(s, d))
