@@ -102,11 +102,11 @@ def test_streams_hold_all_orders(spark, tmp_path):
     assert {r.stream_id: r.extent_ids for r in q.streams(spark, str(tmp_path)).collect()} == {s: sorted(x) for s, x in want.items()}
 
 
-def test_recovery_takes_the_first_healthy_node(spark, monkeypatch):
-    monkeypatch.setattr(catalog, "BROADCAST_ROWS", 2)
+def test_recovery_takes_the_first_healthy_node(spark):
     extents = spark.createDataFrame([(1, [2, 3], [1], 10), (2, [500, 501], [2], 10), (3, [500, 2], [1], 0)], "extent_id long, replicates array<long>, parity array<long>, sealed_length long")
-    nodes = spark.createDataFrame([(i, i != 3) for i in range(400, 0, -1)], "node_id long, alive boolean").coalesce(1)
-    disks = spark.createDataFrame([(i, i != 1) for i in range(1, 401)], "node_id long, online boolean")
+    nodes = spark.range(150_000, 0, -1).select(F.col("id").alias("node_id"), (F.col("id") != 3).alias("alive"))
+    nodes = nodes.where("node_id not in (500, 501)")
+    disks = spark.range(1, 150_001).select(F.col("id").alias("node_id"), (F.col("id") != 1).alias("online"))
     got = {(r.extent_id, r.slot, r.node_id, r.target) for r in catalog.recovery(extents, nodes, disks).collect()}
     assert got == {(1, 1, 3, 4), (1, 2, 1, 4), (2, 0, 500, 4), (2, 1, 501, 4)}
 
