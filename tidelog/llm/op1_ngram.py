@@ -45,16 +45,20 @@ BEGIN, END = np.uint64(1), np.uint64(2)
 
 
 def _squeeze(a: np.ndarray) -> bytes:
-    """The array's bytes, all first ones first, compressed."""
-    return pa.compress(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes(), "zstd", asbytes=True)
+    """The array's bytes, all first ones first, compressed; numbers of eight bytes as four where all fit."""
+    if a.dtype.itemsize == 8 and (not len(a) or int(a.max()) < 1 << 32):
+        a = a.astype("<u4")
+    planes = np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T)
+    return bytes([a.itemsize]) + pa.compress(planes, "zstd", asbytes=True)
 
 
 def _spread(data: bytes, n: int, kind: str) -> np.ndarray:
-    size = np.dtype(kind).itemsize
+    size = data[0]
     if not n:
         return np.zeros(0, kind)
-    planes = np.frombuffer(pa.decompress(data, size * n, "zstd", asbytes=True), np.uint8).reshape(size, n)
-    return np.ascontiguousarray(planes.T).view(kind).ravel()
+    planes = np.frombuffer(pa.decompress(pa.py_buffer(data)[1:], size * n, "zstd"), np.uint8).reshape(size, n)
+    out = np.ascontiguousarray(planes.T).view(f"<u{size}").ravel()
+    return out if out.dtype == np.dtype(kind) else out.astype(kind)
 
 
 _LONGS = pa.list_(pa.int64())
