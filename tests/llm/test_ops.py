@@ -228,6 +228,30 @@ def test_quality_verdict_is_calibrated_apart(spark):
     assert 0.5 < tie <= 0.6
 
 
+def test_quality_learns_from_all_labelled_rows(spark):
+    """More rows of a label than any bound: leaves and threshold are those of all rows, by plain counts."""
+    rng = random.Random(35)
+    words = [f"w{k}" for k in range(300)]
+    rows = [(i, " ".join(rng.choices(words[: 20 if i % 4 else 300], k=rng.randint(50, 70))) + " #" * rng.randint(0, 9), int(i % 4 == 0 or i % 16 == 1)) for i in range(18_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    docs, labels = df.select("doc_id", "text"), df.select("doc_id", "quality")
+    forest, least = model = op3_quality.fit(docs, labels, trees=8, psi=64)
+    table = op3_quality.judged(docs.join(labels, "doc_id"), model, ["doc_id", "quality"]).where("not base_failed").toPandas()
+    grows = np.array([zlib.crc32(str(i).encode()) % 2 == 0 for i in table.doc_id])
+    good = table.quality.to_numpy() != 0
+    assert min((good & grows).sum(), (~good & ~grows).sum()) > 2000 and (~good).sum() > 8000
+    assert least == op3_quality.threshold(table.anomaly.to_numpy()[~grows], good[~grows])
+    n = np.where(good, 1.0, round(int((good & grows).sum()) * op3_quality.MIXED) / (~good & grows).sum())
+    x = op3_quality.features({k: table[k].to_numpy() for k in op3_quality.BASE + op3_quality.MORE})
+    for t, node in enumerate(forest.leaves(x[grows])):
+        mass = np.bincount(node, n[grows], len(forest.path[t]))
+        assert np.isclose(mass.sum(), n[grows].sum())
+        for leaf in np.flatnonzero(mass):
+            size = mass[leaf] / mass.sum() * 64
+            a, b = (op3_quality._mean_path(int(size) + k) for k in (0, 1))
+            assert abs(forest.path[t, leaf] - forest.steps[t, leaf] - (a + (b - a) * (size - int(size)))) < 1e-9
+
+
 def test_quality(docs, none, spark):
     got = op3_quality.judged(docs, None, ["doc_id"]).collect()
     assert len(got) == len(ROWS) and {r.doc_id for r in got if r.kept} <= {i for i, t in ROWS if t and len(t.encode().split()) >= 50}
