@@ -84,6 +84,21 @@ def test_ngram_query_uses_two_words_of_context(spark, tmp_path):
     assert got == scores(op1_ngram.score(docs, held, 3)) != scores(op1_ngram.score(docs, held, 2))
 
 
+def test_ngram_looks_each_window_of_a_shard_up_once(spark, monkeypatch):
+    """Twenty blocks with the same words ask for the same windows; the trie is searched for the distinct ones."""
+    text = "the river runs to the sea and the river rests"
+    docs = spark.createDataFrame([(i, text) for i in range(20)], "doc_id long, text string").repartition(20, "doc_id")
+    table, *_, hot = op1_ngram.numbered(docs, "doc_id % 2 = 1", len(text), op1_ngram.SHARD_WORDS, op1_ngram.SHARD_TOKENS)
+    assert table.count() == 20
+    asked = pa.Table.from_batches(list(op1_ngram._messages(3, 1, hot)(table.toArrow().to_batches())))
+    searched, find = [], Trie.after_pair
+    monkeypatch.setattr(Trie, "after_pair", lambda self, pair, *more: searched.append(len(pair)) or find(self, pair, *more))
+    answers = op1_ngram._answers(hot)(asked)
+    words = ["<", "<", *text.split(), ">"]
+    assert sum(searched) == len(set(zip(words, words[1:], words[2:]))) == 11
+    assert answers.num_rows == 20 and len(set(answers.column("body").to_pylist())) == 1
+
+
 def test_elias_fano(tmp_path):
     rng = np.random.default_rng(1)
     for n, u in ((0, 10), (1, 1), (500, 10_000), (1000, 1 << 60), (700, 700), (40_000, 200_000), (-900, 1 << 40)):
