@@ -267,6 +267,15 @@ def test_quality_learns_from_all_labelled_rows(spark):
             assert abs(forest.path[t, leaf] - forest.steps[t, leaf] - (a + (b - a) * (size - int(size)))) < 1e-9
 
 
+@pytest.mark.parametrize("steps,spare", [(3, 0.3), (40, 0.005), (40, 0.5), (10**9, 0.01), (1, 0.1)])
+def test_quality_threshold_of_bins_is_that_of_all(spark, steps, spare):
+    rng = np.random.default_rng(steps)
+    good = rng.random(3000) < 0.8
+    score = np.ceil(rng.random(3000) * 0.9 * steps) / steps
+    df = spark.createDataFrame(list(zip(good.tolist(), score.tolist())), "good boolean, anomaly double").repartition(7)
+    assert op3_quality._calibrated(df, spare) == op3_quality.threshold(score, good, spare)
+
+
 def test_quality(docs, none, spark):
     got = op3_quality.judged(docs, None, ["doc_id"]).collect()
     assert len(got) == len(ROWS) and {r.doc_id for r in got if r.kept} <= {i for i, t in ROWS if t and len(t.encode().split()) >= 50}
