@@ -7,6 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from tidelog import kv_jobs  # noqa: F401
 from tidelog import kv_queries as q
 
 
@@ -22,7 +23,7 @@ def _peaks(mark: str) -> dict[int, int]:
     return out
 
 
-@pytest.mark.parametrize("name", ["erasure_round_trip"])
+@pytest.mark.parametrize("name", ["erasure_round_trip", "erasure_rebuild"])
 def test_workers_hold_a_few_rows(spark, tmp_path, name):
     pages = {k: random.Random(k).randbytes(32 << 10).hex() if k else "" for k in range(1000)} | {1000: None}
     frame = spark.createDataFrame(list(pages.items()), "page_id long, html string")
